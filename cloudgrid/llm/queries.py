@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, packing, pieces, token_files
+from . import byte_bpe, fingerprints, packing, pieces, quality, token_files, url_filter
 from .common import table
 
 
@@ -15,6 +15,15 @@ def _tokenizer(name: str) -> str:
     return pieces.read_model(public_tokenizers.path(name))
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(table(spark, sf_dir, "documents"))
+
+
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
+    return url_filter.judge(table(spark, sf_dir, "pages"), [url_filter.PathRule(*r) for r in listed])
+
+
 def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_files.write(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), end_id=2, mode="byte_level")
     return token_files.read_digests(manifest)
@@ -35,5 +44,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, vocabulary=49408, mode="word")
 
 
-QUERIES = {f.__name__: f for f in (op4_token_files, op8_fingerprints, op9_byte_bpe, op10_packing)}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_url_filters, op4_token_files, op8_fingerprints, op9_byte_bpe, op10_packing)}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL}
