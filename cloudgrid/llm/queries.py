@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, packing, pieces, quality, token_files, url_filter
+from . import byte_bpe, fingerprints, jaccard_join, packing, pieces, quality, token_files, url_filter
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(manifest)
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.join(table(spark, sf_dir, "documents"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_neighbours(table(spark, sf_dir, "documents"))
 
@@ -44,5 +48,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, vocabulary=49408, mode="word")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_url_filters, op4_token_files, op8_fingerprints, op9_byte_bpe, op10_packing)}
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_url_filters, op4_token_files, op6_jaccard_join, op8_fingerprints, op9_byte_bpe, op10_packing)}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op6_jaccard_join": jaccard_join.SQL}
