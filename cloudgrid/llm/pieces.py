@@ -10,12 +10,21 @@ tokenizer whole.
 from __future__ import annotations
 
 import hashlib
+import os
+import re
 from array import array
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
 #: Pieces kept by one Python worker; about 200 bytes each.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 800_000
+#: What stands between unknown pieces that are encoded as one text: a cut of its own, of one id.
+SEPARATORS = {"byte_level": "\n", "word": " \x01 "}
 _workers: dict = {}
+_other_space = re.compile(r"[^\S \n]").search
 
 
 class PieceEncoder:
@@ -26,54 +35,89 @@ class PieceEncoder:
     whole: no cuts.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], mode: str, wide: bool = False):
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], mode: str, wide: bool = False, joined: bool = False):
         self.encode_many, self.mode, self.code = encode_many, mode, "I" if wide else "H"
         self.cache: dict[str, bytes] = {}
+        mark = encode_many([SEPARATORS[mode]])[0] if joined and mode in SEPARATORS else []
+        self.mark = mark[0] if len(mark) == 1 else None
+        self.feed = self.pack(encode_many(["\n"])[0]) if mode == "byte_level" else b""
 
     def pack(self, ids) -> bytes:
         return array(self.code, ids).tobytes()
 
-    def cut(self, text: str) -> list[str] | None:
+    def prepared(self, text: str) -> str | None:
+        """The text with a space before each piece but the first, or None where no cut is safe."""
         if self.mode == "word":
-            return text.replace("\n", " ").split(" ")
-        if self.mode == "byte_level" and text.count(" ") + text.count("\n") + 1 == len(text.split()):
-            first, *rest = text.replace("\n", " \n").split(" ")
-            return ["\r" + first, *rest]  # a mark: the first piece has no space before it
-        return None
-
-    def _plain(self, piece: str) -> str:
-        if self.mode == "word" or piece[:1] == "\n":
-            return piece
-        return piece[1:] if piece[:1] == "\r" else " " + piece
+            return text.replace("\n", " ")
+        if self.mode == "whole" or not text or text[0] in " \n" or text[-1] in " \n" or _other_space(text):
+            return None
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return None
+        return "\r" + text.replace("\n", " \n")  # a mark: the first piece has no space before it
+
+    def _learn(self, pieces: list[str]) -> list[bytes]:
+        if self.mode == "word":
+            return self._packed(pieces)
+        plain = [p[1:] if p[0] in "\r\n" else " " + p for p in pieces]
+        return [self.feed + ids if p[0] == "\n" else ids for p, ids in zip(pieces, self._packed(plain), strict=True)]
+
+    def _packed(self, texts: list[str]) -> list[bytes]:
+        """Many short texts as one, whose ids are parted at the separator's."""
+        if self.mark is None:
+            return list(map(self.pack, self.encode_many(texts)))
+        sep, out = SEPARATORS[self.mode], []
+        for at in range(0, len(texts), 1000):
+            some = texts[at : at + 1000]
+            ids = np.array(self.encode_many([sep.join(some)])[0], self.code)
+            ends = np.flatnonzero(ids == self.mark)
+            if len(ends) == len(some) - 1:
+                raw, w = ids.tobytes(), ids.itemsize
+                bounds = [0, *((ends + 1) * w).tolist(), len(raw) + w]
+                out += [raw[a : b - w] for a, b in zip(bounds, bounds[1:])]
+            else:  # a text has the separator's id itself
+                out += map(self.pack, self.encode_many(some))
+        return out
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """Packed little-endian ids of each text."""
-        cut = [self.cut(t) for t in texts]
-        missing = set().union(*(c for c in cut if c is not None)).difference(self.cache)
-        if len(self.cache) + len(missing) > CACHE_PIECES:
-            self.cache.clear()
-            missing = set().union(*(c for c in cut if c is not None))
-        if missing:
-            names = list(missing)
-            self.cache.update(zip(names, map(self.pack, self.encode_many([self._plain(p) for p in names])), strict=True))
-        whole = iter(self.encode_many([t for t, c in zip(texts, cut, strict=True) if c is None]) if None in cut else ())
-        look = self.cache.__getitem__
-        for c in cut:
-            yield self.pack(next(whole)) if c is None else b"".join(map(look, c))
+        """Packed little-endian ids of each text.
+
+        Arrow cuts the texts and numbers their distinct pieces; each is looked up once.
+        """
+        ready = [self.prepared(t) for t in texts]
+        cut = pc.split_pattern(pa.array([t for t in ready if t is not None], pa.large_string()), " ")
+        pieces = cut.flatten().dictionary_encode()
+        names = pieces.dictionary.to_pylist()
+        found = list(map(self.cache.get, names))
+        if None in found:
+            missing = [p for p, ids in zip(names, found, strict=True) if ids is None]
+            new = dict(zip(missing, self._learn(missing), strict=True))
+            found = [new[p] if ids is None else ids for p, ids in zip(names, found, strict=True)]
+            if len(self.cache) + len(new) > CACHE_PIECES:
+                self.cache.clear()
+            self.cache.update(new)
+        joined = pa.array(found, pa.large_binary()).take(pieces.indices)
+        ends = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :][cut.offsets.to_numpy()].tolist() if len(joined) else [0] * (len(cut) + 1)
+        raw = memoryview(joined.buffers()[2] or b"")
+        bounds = iter(zip(ends, ends[1:]))
+        whole = iter(self.encode_many([t for t, r in zip(texts, ready, strict=True) if r is None]) if None in ready else ())
+        for r in ready:
+            if r is None:
+                yield self.pack(next(whole))
+            else:
+                a, b = next(bounds)
+                yield bytes(raw[a:b])
 
 
 def tokenizers_encoder(model: str, mode: str) -> PieceEncoder:
     """An encoder of the tokenizers library, one for each Python worker and model."""
     key = ("tokenizers", mode, hashlib.sha1(model.encode()).digest())
     if key not in _workers:
-        import os
-
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(model)
         t.encode_special_tokens = True  # strings of special tokens in a text are text
-        _workers[key] = PieceEncoder(lambda xs: [e.ids for e in t.encode_batch_fast(xs, add_special_tokens=False)], mode, t.get_vocab_size() > 1 << 16)
+        _workers[key] = PieceEncoder(lambda xs: [e.ids for e in t.encode_batch_fast(xs, add_special_tokens=False)], mode, t.get_vocab_size() > 1 << 16, joined=True)
     return _workers[key]
 
 
@@ -88,6 +132,6 @@ def encoded(batches: Iterable, encoder: PieceEncoder, columns: list[str], text:
 
     for batch in batches:
         rows = zip(*(batch.column(c).to_pylist() for c in [*columns, text]), strict=True)
-        for some in chunks(rows, lambda r: len(r[-1] or ""), 1 << 20):
+        for some in chunks(rows, lambda r: len(r[-1] or ""), 1 << 22):
             for row, ids in zip(some, encoder.encode([r[-1] or "" for r in some]), strict=True):
                 yield *row[:-1], ids
