@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, jaccard_join, packing, pieces, quality, token_files, url_filter
+from . import byte_bpe, fingerprints, jaccard_join, langid, packing, pieces, quality, token_files, toxicity, url_filter
 from .common import table
 
 
@@ -29,10 +29,18 @@ def op4_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_digests(manifest)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.learn_and_identify(table(spark, sf_dir, "documents"))
+
+
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.join(table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.learn_and_score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_neighbours(table(spark, sf_dir, "documents"))
 
@@ -48,5 +56,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, vocabulary=49408, mode="word")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_url_filters, op4_token_files, op6_jaccard_join, op8_fingerprints, op9_byte_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_url_filters, op4_token_files, op5_language_id, op6_jaccard_join, op7_toxicity, op8_fingerprints, op9_byte_bpe, op10_packing)}
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op6_jaccard_join": jaccard_join.SQL}
