@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, fingerprints, jaccard_join, langid, packing, pieces, quality, token_files, toxicity, url_filter
+from . import byte_bpe, fingerprints, jaccard_join, langid, packing, pieces, quality, token_files, toxicity, url_filter, warc
 from .common import table
 
 
@@ -19,6 +19,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = warc.read(warc.merge(warc.write(table(spark, sf_dir, "pages"))), digest_only=True)
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "range_no", "range_pos")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     listed = [("allow", "com/"), ("block", "example.com/en/"), ("allow", "www.example.com/en/"), ("block", "net/es/"), ("block", "net/fr/")]
     return url_filter.judge(table(spark, sf_dir, "pages"), [url_filter.PathRule(*r) for r in listed])
@@ -56,5 +61,5 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_digests(table(spark, sf_dir, "documents"), _tokenizer("word_bpe_49k.json"), end_id=2, vocabulary=49408, mode="word")
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_rules, op3_url_filters, op4_token_files, op5_language_id, op6_jaccard_join, op7_toxicity, op8_fingerprints, op9_byte_bpe, op10_packing)}
+QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc, op3_url_filters, op4_token_files, op5_language_id, op6_jaccard_join, op7_toxicity, op8_fingerprints, op9_byte_bpe, op10_packing)}
 ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op6_jaccard_join": jaccard_join.SQL}
