@@ -117,3 +117,18 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
         yield from row_batches(fn(batches), arrow)
 
     return df.mapInArrow(run, schema)
+
+
+def filter_rows(df: DataFrame, text_col: str, decide) -> DataFrame:
+    """The rows for which decide holds, all columns as they are; decide takes a batch of texts and gives Booleans."""
+    own = df.withColumn("_text", F.col(text_col).cast("string"))
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            text = batch.column(batch.num_columns - 1)
+            kept = batch.select(range(batch.num_columns - 1))
+            yield kept.filter(pa.array(decide(pa.RecordBatch.from_arrays([text], ["text"])), pa.bool_()))
+
+    return own.mapInArrow(run, df.schema)

@@ -1,17 +1,16 @@
-"""Exact Jaccard join of word shingle sets, by count vectors in an R-tree.
+"""Jaccard join of word shingle sets, by count vectors in an R-tree.
 
 1. Rows with equal sets form a class, whose smallest id stands for it.
-2. Two sets at the threshold share one of their first hashes (a prefix long
-   enough for the threshold), so classes meet under those hashes. In each such
-   bucket an R-tree over count vectors finds what may be linked; its forest's
-   components hold every link.
-3. Each of these components, of whole sets now, goes through the R-tree again,
-   and pairs that pass are verified by exact intersection. The components of
-   verified pairs are the result.
-
-Buckets and components above BLOCK rows are split into blocks, and each pair of
-blocks is a task of its own, so no group has to fit one task. Pairs inside one
-already connected part are never looked at, so groups of copies stay linear.
+2. Classes that agree in a band of min-hashes meet; components of such meetings
+   are the units of the join. At the default threshold of 0.75 a pair right at it
+   meets in none of 80 bands of 5 with a chance of 4e-10, a likelier one still less.
+3. The sets of a unit go into an R-tree over count vectors, which yields the pairs
+   that may be linked, and each of these is verified by exact intersection. The
+   components of verified pairs are the result.
+
+Units above BLOCK rows are split into blocks, and each pair of blocks is a task
+of its own, so no group has to fit one task. Pairs inside one already connected
+part are never looked at, so groups of copies stay linear within a task.
 """
 
 from __future__ import annotations
@@ -21,33 +20,43 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_rows, materialise, partitions
 from .components import components
-from .count_tree import CountTree, bound, count_vector, enough
-from .shingles import shingle_hashes
+from .count_tree import GROUPS, CountTree, count_vector, enough
+from .shingles import mix, shingle_hashes
 
 BLOCK = 1024
+BANDS, ROWS = 80, 5
+_random = np.random.default_rng(17)
+_FACTORS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+_SHIFTS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
 
 
-def prefix_length(n: int, percent: int) -> int:
-    """Of any two sets at the threshold, the first so many hashes of each have one in common."""
-    return n - -(-percent * n // 100) + 1 if n else 0
+def band_hashes(hashes: np.ndarray) -> np.ndarray:
+    """One 64-bit hash for each band of ROWS min-hashes."""
+    x = (hashes >> np.uint64(32)).astype(np.uint32)
+    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    for at in range(0, len(x), 2048):
+        np.minimum(least, (x[at : at + 2048, None] * _FACTORS + _SHIFTS).min(axis=0), out=least)
+    out = np.arange(BANDS, dtype=np.uint64)
+    for column in least.reshape(BANDS, ROWS).T.astype(np.uint64):
+        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
+    return out.view(np.int64)
 
 
-def signatures(df: DataFrame, percent: int, width: int) -> DataFrame:
-    """(id, n, key binary, prefix array<bigint>, counts binary) of each row of (id, text); no words: a null key."""
+def signatures(df: DataFrame, width: int) -> DataFrame:
+    """(id, n, key binary, bands array<bigint>) of each row of (id, text); no words: a null key and no bands."""
 
     def run(batches):
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = shingle_hashes((text or "").encode().lower(), width)
-                key = xxhash.xxh3_128_digest(h.tobytes()) if len(h) else None
-                yield doc, len(h), key, h[: prefix_length(len(h), percent)].view(np.int64).tolist(), count_vector(h).tobytes()
+                yield doc, len(h), *((xxhash.xxh3_128_digest(h.tobytes()), band_hashes(h).tolist()) if len(h) else (None, []))
 
-    return map_rows(df, run, "id bigint, n int, key binary, prefix array<bigint>, counts binary")
+    return map_rows(df, run, "id bigint, n int, key binary, bands array<bigint>")
 
 
 def in_blocks(df: DataFrame, key: str, size: str, side: str) -> DataFrame:
@@ -87,26 +96,19 @@ def _matrix(column, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, width)
 
 
-def forests(grouped: DataFrame, percent: int, verified: bool) -> DataFrame:
-    """Edges (a, b) of a forest for each group (k, i, j) of rows (k, i, j, own, id, n, counts[, hashes])."""
+def forests(grouped: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of a forest of linked sets for each group (k, i, j) of rows (k, i, j, own, id, n, counts, hashes)."""
 
     def run(batches):
         for t in _runs(batches):
             k, i, j, own = (t.column(c).to_numpy() for c in (0, 1, 2, 3))
-            ids, n, counts = t.column(4).to_numpy(), t.column(5).to_numpy().astype(np.int64), _matrix(t.column(6), 128)
-            sets = t.column(7).to_pylist() if verified else None
+            ids, n, counts, sets = t.column(4).to_numpy(), t.column(5).to_numpy().astype(np.int64), _matrix(t.column(6), GROUPS), t.column(7).to_pylist()
             starts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1])
-            sizes = np.diff(np.append(starts, len(k)))
-            pairs = starts[sizes == 2]
-            hit = pairs[enough(bound(counts[pairs], counts[pairs + 1]), n[pairs], n[pairs + 1], percent)]
-            for p in hit.tolist():
-                if not verified or linked(sets[p], sets[p + 1], percent):
-                    yield int(ids[p]), int(ids[p + 1])
-            for s, m in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+            for s, m in zip(starts.tolist(), np.diff(np.append(starts, len(k))).tolist(), strict=True):
                 rows = slice(s, s + m)
                 across = own[rows] if i[s] != j[s] else None
-                check = (lambda x, y, s=s: linked(sets[s + x], sets[s + y], percent)) if verified else None
-                for x, y in CountTree(counts[rows], n[rows]).forest(percent, check, across):
+                verify = lambda x, y, s=s: linked(sets[s + x], sets[s + y], percent)
+                for x, y in CountTree(counts[rows], n[rows]).forest(percent, verify, across):
                     yield int(ids[s + x]), int(ids[s + y])
 
     dealt = grouped.repartition(partitions(grouped.sparkSession), "k", "i", "j").sortWithinPartitions("k", "i", "j")
@@ -131,15 +133,14 @@ def join(df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id
     An empty table gives no rows.
     """
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = materialise(signatures(docs, percent, width))
+    made = materialise(signatures(docs, width))
     full = made.where(F.col("key").isNotNull() & F.col("id").isNotNull())
     classes = full.groupBy("key").agg(F.min("id").alias("rep"))
-    reps = materialise(full.join(classes.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("id") == F.col("rep")), "left_semi").dropDuplicates(["key"]).select("id", "n", "counts", "prefix"))
+    reps = full.join(classes.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("id") == F.col("rep")), "left_semi")
 
-    postings = reps.select(F.explode("prefix").alias("k"), "id")
-    shared = postings.withColumn("size", F.count("*").over(Window.partitionBy("k"))).where("size > 1")
-    buckets = in_blocks(shared, "k", "size", "id").join(reps.select("id", "n", "counts"), "id").select("k", "i", "j", "own", "id", "n", "counts")
-    likely = components(forests(buckets, percent, verified=False).distinct())
+    met = reps.select(F.explode("bands").alias("band"), "id")
+    first = met.groupBy("band").agg(F.min("id").alias("a"), F.max("id").alias("last")).where("a < last").select("band", "a")
+    likely = components(met.join(first, "band").select("a", F.col("id").alias("b")))
 
     sizes = likely.groupBy("component").agg(F.count("*").alias("size"))
     members = likely.join(sizes, "component").select(F.col("v").alias("id"), F.col("component").alias("k"), "size")
@@ -153,7 +154,7 @@ def join(df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id
 
     sets = map_rows(docs.join(members, "id").select("k", "size", "id", "text"), whole, "k bigint, size bigint, id bigint, n int, counts binary, hashes binary")
     split = in_blocks(sets, "k", "size", "id").select("k", "i", "j", "own", "id", "n", "counts", "hashes")
-    linked_ids = components(forests(split, percent, verified=True))
+    linked_ids = components(forests(split, percent))
 
     named = classes.join(linked_ids.withColumnRenamed("v", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("least"))
     placed = made.select("id", "n", "key").join(named, "key", "left")
@@ -161,6 +162,13 @@ def join(df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id
     return placed.select(F.col("id").alias(id_col), F.col("n").cast("bigint").alias("n_shingles"), component.alias("component_id"))
 
 
+def keep_one(df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose id is the smallest of its component, and those with a null id."""
+    found = join(df, percent, width, id_col, text_col)
+    dropped = materialise(found.where(F.col("component_id") < F.col(id_col)).select(id_col).distinct())
+    return df.join(dropped, id_col, "left_anti")
+
+
 #: The same for DuckDB.
 SQL = r"""
 WITH RECURSIVE w AS (

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import filter_rows, map_rows
 from .words import held_out, letter_words, ngrams, number, sample_groups, word_batches
 
 BUCKETS, LENGTHS, SEED = 1 << 16, (1, 2, 3, 4), 11
@@ -180,16 +180,29 @@ def identify(df: DataFrame, model: Model, switch: float = SWITCH, id_col: str =
     return _label(df, model, switch, id_col, text_col, lambda path: (), "")
 
 
+def main_language(model: Model, size: np.ndarray, path: np.ndarray) -> tuple[str, float]:
+    if not len(path):
+        return UND, 0.0
+    letters = np.bincount(path, size, len(model.langs))
+    return model.langs[int(letters.argmax())], float(letters.max() / letters.sum())
+
+
+def keep_identified(df: DataFrame, model: Model, min_score: float = 0.5, switch: float = SWITCH, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that have a language with a share of min_score or more."""
+
+    def decide(batch):
+        found = [main_language(model, size, path) for _, size, path in paths([batch], model, switch)]
+        return [lang != UND and score >= min_score for lang, score in found]
+
+    return filter_rows(df, text_col, decide)
+
+
 def _label(df, model, switch, id_col, text_col, more, fields):
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
         for row, size, path in paths(batches, model, switch):
-            lang, score = UND, 0.0
-            if len(path):
-                letters = np.bincount(path, size, len(model.langs))
-                lang, score = model.langs[int(letters.argmax())], float(letters.max() / letters.sum())
-            yield row[0], lang, score, *more(path)
+            yield row[0], *main_language(model, size, path), *more(path)
 
     return map_rows(own, run, f"id {own.schema[0].dataType.simpleString()}, lang_pred string, score double{fields}").withColumnRenamed("id", id_col)
 

@@ -20,7 +20,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces kept by one Python worker; about 200 bytes each.
-CACHE_PIECES = 800_000
+CACHE_PIECES = 2_000_000
 #: What stands between unknown pieces that are encoded as one text: a cut of its own, of one id.
 SEPARATORS = {"byte_level": "\n", "word": " \x01 "}
 _workers: dict = {}

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import filter_rows, map_rows
 from .words import held_out, letter_words, ngrams, number, sample_groups, word_batches
 
 BUCKETS, LENGTHS, SEED = 1 << 17, (3, 4, 5), 5
@@ -134,19 +134,29 @@ def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        for b in word_batches(batches):
-            n = len(b.rows)
-            logits = model.word_logits(b.words) if b.words else np.zeros(0)
-            doc = np.repeat(np.arange(n), np.diff(b.bounds))
-            pair = np.unique(doc * max(1, len(b.words)) + b.at)  # distinct words of each text
-            doc, word = np.divmod(pair, max(1, len(b.words)))
-            mean = np.bincount(doc, logits[word], n) / (np.bincount(doc, minlength=n) + PAD)
-            for row, s in zip(b.rows, model.score(mean).tolist(), strict=True):
-                yield row[0], s, int(s >= threshold)
+        for row, s in scored(batches, model):
+            yield row[0], s, int(s >= threshold)
 
     return map_rows(own, run, f"id {own.schema[0].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
+def scored(batches, model: Model):
+    """(row, score) for each row of Arrow batches that end in text."""
+    for b in word_batches(batches):
+        n = len(b.rows)
+        logits = model.word_logits(b.words) if b.words else np.zeros(0)
+        doc = np.repeat(np.arange(n), np.diff(b.bounds))
+        pair = np.unique(doc * max(1, len(b.words)) + b.at)  # distinct words of each text
+        doc, word = np.divmod(pair, max(1, len(b.words)))
+        mean = np.bincount(doc, logits[word], n) / (np.bincount(doc, minlength=n) + PAD)
+        yield from zip(b.rows, model.score(mean).tolist(), strict=True)
+
+
+def keep_clean(df: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, that score below the threshold."""
+    return filter_rows(df, text_col, lambda batch: [s < threshold for _, s in scored([batch], model)])
+
+
 def learn_and_score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """score() with a model of the labelled rows that are not held out; adds held_out."""
     model = fit(documents, labels.where(~held_out("doc_id")))
