@@ -46,11 +46,20 @@ def _sums(rows: np.ndarray, weights: np.ndarray, values: np.ndarray, n: int) ->
     return np.stack([np.bincount(rows, weights * values[:, k], n) for k in range(values.shape[1])], axis=1)
 
 
-def telling(bucket: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Buckets whose share of documents differs between the classes by at least Z standard errors."""
-    pair = np.unique(doc * BUCKETS + bucket)
-    doc, bucket = np.divmod(pair, BUCKETS)
-    in_one, in_all = np.bincount(bucket, y[doc], BUCKETS), np.bincount(bucket, minlength=BUCKETS)
+def telling(words: list[list[str]], y: np.ndarray, block: int = 200) -> np.ndarray:
+    """Buckets whose share of documents differs between the classes by at least Z standard errors, a block of documents at a time."""
+    in_one, in_all = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    for at in range(0, len(words), block):
+        b = number([], words[at : at + block])
+        bucket, owner = ngrams(b.words, LENGTHS, BUCKETS)
+        order = np.argsort(owner, kind="stable")
+        first = np.searchsorted(owner[order], np.arange(len(b.words) + 1))
+        count = np.diff(first)[b.at]
+        each = np.repeat(first[b.at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
+        doc = np.repeat(np.repeat(np.arange(len(b.bounds) - 1), np.diff(b.bounds)), count)
+        pair = np.unique(doc * BUCKETS + bucket[order][each])
+        in_all += np.bincount(pair % BUCKETS, minlength=BUCKETS)
+        in_one += np.bincount(pair % BUCKETS, y[at + pair // BUCKETS], BUCKETS)
     ones, n = y.sum(), len(y)
     share = in_all / n
     error = np.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones)))
@@ -58,6 +67,18 @@ def telling(bucket: np.ndarray, doc: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.flatnonzero((in_all >= 3) & (gap >= Z * error))
 
 
+def chosen_ngrams(words: list[str], names: np.ndarray, block: int = 50_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(place in names, word, 1 / the word's n-grams) of the n-grams in the buckets names, a block of words at a time."""
+    found = []
+    for at in range(0, len(words), block):
+        bucket, owner = ngrams(words[at : at + block], LENGTHS, BUCKETS)
+        share = 1.0 / np.bincount(owner)
+        keep = np.isin(bucket, names)
+        found.append((np.searchsorted(names, bucket[keep]), owner[keep] + at, share[owner[keep]]))
+    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+    return tuple(np.concatenate(c) for c in zip(empty, *found, strict=True))
+
+
 def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
     """Minimise the class-balanced cross entropy; needs rows of both classes, else it scores their share.
 
@@ -69,28 +90,20 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
     if len(set(labels)) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(BUCKETS), 60.0 if share else -60.0)
-    b = number([], [list(dict.fromkeys(letter_words(t))) for t in texts])
-    rng = np.random.default_rng(SEED)
-    bucket, owner = ngrams(b.words, LENGTHS, BUCKETS)
-    per_word = 1.0 / np.bincount(owner, minlength=len(b.words))[owner]
-    order = np.argsort(owner, kind="stable")
-    bucket, owner, per_word = bucket[order], owner[order], per_word[order]
+    found = [list(dict.fromkeys(letter_words(t))) for t in texts]
+    names = telling(found, y)
+    b = number([], found)
     sizes = np.diff(b.bounds)
-    word, doc = b.at, np.repeat(np.arange(len(y)), sizes)
-    per_doc = (1.0 / (sizes + PAD))[doc]
     weight = np.sqrt(np.maximum(1, sizes))
     weight = np.where(y == 1, weight / weight[y == 1].sum(), weight / weight[y == 0].sum()) / 2
     target = np.eye(2)[y]
-
-    first = np.searchsorted(owner, np.arange(len(b.words) + 1))
-    count = np.diff(first)[word]
-    each = np.repeat(first[word], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-    names = telling(bucket[each], np.repeat(doc, count), y)
-    chosen = np.isin(bucket, names)
-    bucket, owner, per_word = np.searchsorted(names, bucket[chosen]), owner[chosen], per_word[chosen]
+    bucket, owner, per_word = chosen_ngrams(b.words, names)
     live, owner = np.unique(owner, return_inverse=True)
+    word, doc = b.at, np.repeat(np.arange(len(y)), sizes)
     chosen = np.isin(word, live)
-    word, doc, per_doc = np.searchsorted(live, word[chosen]), doc[chosen], per_doc[chosen]
+    word, doc = np.searchsorted(live, word[chosen]), doc[chosen]
+    per_doc = (1.0 / (sizes + PAD))[doc]
+    rng = np.random.default_rng(SEED)
 
     p = {"e": np.zeros((len(names), DIMENSIONS)), "w": rng.normal(0, 1, (DIMENSIONS, 2)), "b": np.zeros(2)}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in "mv")
