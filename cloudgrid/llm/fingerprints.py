@@ -7,7 +7,7 @@ import hashlib
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import map_rows, partitions
@@ -80,15 +80,16 @@ def merge_parts(sketches: DataFrame, group_col: str, k: int = K) -> DataFrame:
     """(group_col, fingerprint) of the union of each group's sketches.
 
     Native: the k smallest distinct hashes of a group are kept by a ranked window
-    after a first distinct, so a large group costs k rows a task.
+    after a first distinct, so a large group costs k rows a task. A group of empty
+    fingerprints alone has no row.
     """
-    raw = sketches.select(F.col(group_col).alias("g"), F.unbase64(F.element_at(F.split("fingerprint", ":"), 2)).alias("b"))
-    each = raw.select("g", F.explode(F.expr("transform(sequence(1, greatest(1, length(b)), 8), i -> hex(reverse(substring(b, i, 8))))")).alias("h")).where("h <> ''").distinct()
-    from pyspark.sql import Window
-
+    turned = lambda h: F.concat(*(F.substring(h, k, 2) for k in range(15, 0, -2)))  # noqa: E731  hex with its eight bytes the other way round
+    raw = sketches.select(F.col(group_col).alias("g"), F.hex(F.unbase64(F.element_at(F.split("fingerprint", ":"), 2))).alias("b"))
+    starts = F.when(F.length("b") > 0, F.sequence(F.lit(1), F.length("b"), F.lit(16))).otherwise(F.array().cast("array<int>"))
+    each = raw.select("g", F.explode(F.transform(starts, lambda i: turned(F.substring("b", i, F.lit(16))))).alias("h")).distinct()
     small = each.withColumn("n", F.row_number().over(Window.partitionBy("g").orderBy("h"))).where(F.col("n") <= k)
     joined = small.groupBy("g").agg(F.array_sort(F.collect_list("h")).alias("hs"))
-    body = F.base64(F.unhex(F.expr("array_join(transform(hs, h -> hex(reverse(unhex(h)))), '')")))
+    body = F.translate(F.base64(F.unhex(F.array_join(F.transform("hs", turned), ""))), "\r\n", "")
     return joined.select(F.col("g").alias(group_col), F.concat(F.lit(f"{k}:"), body).alias("fingerprint"))
 
 

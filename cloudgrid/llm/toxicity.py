@@ -79,19 +79,23 @@ def chosen_ngrams(words: list[str], names: np.ndarray, block: int = 50_000) -> t
     return tuple(np.concatenate(c) for c in zip(empty, *found, strict=True))
 
 
-def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
+def train(texts: list[str], labels: list[int], steps: int = STEPS, odds: float | None = None) -> Model:
     """Minimise the class-balanced cross entropy; needs rows of both classes, else it scores their share.
 
     Buckets that tell nothing about the class keep zero vectors, so that texts of
     many words aren't learnt by heart. A row weighs as the root of its number of
-    distinct words, so short ones don't rule.
+    distinct words, so short ones don't rule. Half of odds, the classes' log odds
+    before sampling (here, if not given), goes into the bias.
     """
     y = np.array(labels, np.int64)
     if len(set(labels)) < 2:
         share = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(BUCKETS), 60.0 if share else -60.0)
+    odds = float(np.log(y.sum() / (len(y) - y.sum()))) if odds is None else odds
     found = [list(dict.fromkeys(letter_words(t))) for t in texts]
     names = telling(found, y)
+    if not len(names):
+        return Model(np.zeros(BUCKETS), odds)
     b = number([], found)
     sizes = np.diff(b.bounds)
     weight = np.sqrt(np.maximum(1, sizes))
@@ -120,7 +124,7 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS) -> Model:
             p[k] -= RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-12)
     out = np.zeros(BUCKETS)
     out[names] = p["e"] @ (p["w"][:, 1] - p["w"][:, 0])
-    return Model(out, float(p["b"][1] - p["b"][0]))
+    return Model(out, float(p["b"][1] - p["b"][0]) + odds / 2)
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -131,10 +135,11 @@ def fit(documents: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS, id_
     broadcast to fetch their texts.
     """
     known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null").distinct()
+    n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     chosen = sample_groups(known, ["id", "label"], {0: max_texts, 1: max_texts}, "label", SEED)
     own = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
     got = own.join(F.broadcast(chosen), "id").select("text", "label").toArrow()
-    return train(got["text"].to_pylist(), got["label"].to_pylist())
+    return train(got["text"].to_pylist(), got["label"].to_pylist(), odds=float(np.log(n[1] / n[0])) if len(n) == 2 else None)
 
 
 def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,0 +1,142 @@
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from cloudgrid.llm import langid, toxicity, words
+
+rng = random.Random(4)
+SYLLABLES = {"aa": ["ka", "lo", "mi", "ten"], "bb": ["schü", "ert", "ung", "ein"], "cc": ["про", "ста", "ние", "во"], "dd": ["κα", "λο", "μι", "τε"]}
+
+
+def text(lang, n):
+    return " ".join("".join(rng.choice(SYLLABLES[lang]) for _ in range(rng.randint(1, 4))) for _ in range(n))
+
+
+def documents():
+    rows = [(k, text(lang, rng.randint(3, 60)), lang) for k, lang in enumerate(list(SYLLABLES) * 60)]
+    return [*rows, (1000, None, "aa"), (1001, "", None), (1002, "12 !! ³ ٣", "bb"), (1003, text("bb", 30), None), (None, text("cc", 9), "cc"), (3, rows[3][1], "dd")]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    return spark.createDataFrame([(*r, "x") for r in documents()], "doc_id bigint, text string, lang string, score string")
+
+
+@pytest.fixture(scope="module")
+def model(docs):
+    return langid.fit(docs.where(~words.held_out("doc_id")))
+
+
+def out(i):
+    return zlib.crc32(("" if i is None else str(i)).encode()) % 4 == 2
+
+
+def test_languages(docs):
+    got = langid.learn_and_identify(docs).collect()
+    known = documents()
+    assert len(got) == len(known)
+    by = {r.doc_id: r for r in got}
+    assert all(by[i].held_out == out(i) for i, _, _ in known)
+    assert all(by[i].lang_pred == lang for i, t, lang in known if lang and t and i != 1002)
+    assert {by[i].lang_pred for i in (1000, 1001, 1002)} == {"und"} and by[1003].lang_pred == "bb"
+    assert all(0 <= r.score <= 1 for r in got)
+
+
+def test_spans_of_mixed_texts(spark, model):
+    a, b = text("aa", 40), text("bb", 30)
+    row = langid.label_spans(spark.createDataFrame([(1, f"{a} {b} {a}")], "doc_id bigint, text string"), model).first()
+    assert [s.lang for s in row.spans] == ["aa", "bb", "aa"] and [(s.first, s.last) for s in row.spans] == [(0, 39), (40, 69), (70, 109)]
+    short = langid.label_spans(spark.createDataFrame([(1, f"{a} ein {a}")], "doc_id bigint, text string"), model, switch=1e6).first()
+    assert len(short.spans) == 1
+
+
+def test_scripts_narrow(model):
+    s = model.scores(["каλ", "про", "кк"])
+    assert s.argmax(axis=1).tolist() == [model.langs.index("cc")] * 3
+    assert (np.exp(s).sum(axis=1) == pytest.approx(1)) and s[1].max() > -1e-6
+
+
+def plain_viterbi(s, switch):
+    n, k = s.shape
+    best, back = s[0].copy(), []
+    for t in range(1, n):
+        moves = best[:, None] - switch * (1 - np.eye(k))
+        back.append(moves.argmax(axis=0))
+        best = moves.max(axis=0) + s[t]
+    return best.max()
+
+
+def test_viterbi_is_optimal():
+    r = np.random.default_rng(0)
+    value = lambda s, path, switch: s[np.arange(len(s)), path].sum() - switch * (np.diff(path) != 0).sum()
+    for _ in range(400):
+        s = r.normal(0, 3, (r.integers(1, 30), r.integers(1, 5))) + r.normal(0, 2, 1)
+        switch = float(r.uniform(0, 12))
+        assert value(s, langid.viterbi(s, switch), switch) == pytest.approx(plain_viterbi(s, switch))
+
+
+def test_keep_identified_keeps_columns(docs, model):
+    kept = langid.keep_identified(docs, model)
+    assert kept.schema == docs.schema
+    assert {r.doc_id for r in docs.collect()} - {r.doc_id for r in kept.collect()} == {1000, 1001, 1002}
+
+
+def test_no_language_learnt(spark, docs):
+    none = langid.fit(docs.where("lang is null"))
+    assert none.langs == [] and langid.identify(docs, none).where("lang_pred <> 'und' or score <> 0").count() == 0
+    assert langid.learn_and_identify(docs.limit(0)).count() == 0
+
+
+BAD = ["grumblor", "snarkwit", "vexmold"]
+
+
+@pytest.fixture(scope="module")
+def rated(spark):
+    rows = []
+    for k in range(600):
+        t = text(rng.choice(["aa", "bb"]), rng.randint(5, 200)).split()
+        if k % 3 == 0:
+            for _ in range(rng.randint(1, 3)):
+                t.insert(rng.randrange(len(t)), rng.choice(BAD))
+        rows.append((k, " ".join(t), int(k % 3 == 0)))
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows] + [(900, None), (901, ""), (None, "x"), (902, "grumblorr vexxmold " + text("aa", 30)), (903, "snarkwwit " + text("bb", 20))], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, y, y) for i, _, y in rows] + [(0, 1, 1), (None, 1, 1), (1, 0, None)], "doc_id bigint, quality int, toxic int")
+    return docs, labels, {i: y for i, _, y in rows}
+
+
+def test_toxicity_of_held_out_rows(rated):
+    docs, labels, truth = rated
+    got = {r.doc_id: r for r in toxicity.learn_and_score(docs, labels).collect()}
+    held = [i for i in truth if out(i)]
+    right = sum(got[i].predicted == truth[i] for i in held)
+    assert right / len(held) > 0.95
+    assert all(r.predicted == (r.score >= 0.3) and 0 <= r.score <= 1 for r in got.values())
+    assert got[900].predicted == got[901].predicted == got[None].predicted == 0
+    assert got[902].predicted == 1 and got[903].predicted == 1  # misspelt, never seen
+
+
+def test_labels_of_held_out_rows_change_nothing(rated):
+    docs, labels, _ = rated
+    flipped = labels.withColumn("toxic", toxicity.F.when(words.held_out("doc_id"), 1 - toxicity.F.col("toxic")).otherwise(toxicity.F.col("toxic")))
+    score = lambda y: sorted(map(str, toxicity.learn_and_score(docs, y).collect()))
+    assert score(labels) == score(flipped)
+
+
+def test_keep_clean_and_one_class(spark, rated):
+    docs, labels, _ = rated
+    model = toxicity.fit(docs, labels)
+    want = {r.doc_id for r in toxicity.score(docs, model).where("predicted = 0").collect()}
+    kept = toxicity.keep_clean(docs, model)
+    assert kept.schema == docs.schema and {r.doc_id for r in kept.collect()} == want
+    assert toxicity.train([], []).score(np.zeros(1))[0] < 1e-6
+    assert toxicity.train(["a"], [1]).score(np.zeros(1))[0] > 0.99
+    assert toxicity.learn_and_score(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_ngrams_of_words():
+    bucket, owner = words.ngrams(["abc", "abd", "abc"], (2, 3), 1 << 20)
+    of = lambda k: sorted(bucket[owner == k].tolist())
+    assert len(of(0)) == 4 + 3 + 1 and of(0) == of(2) and len(set(of(0)) & set(of(1))) == 3
+    assert words.letter_words("Ab1c ²³ é٣x") == ["ab", "c", "é", "x"]
