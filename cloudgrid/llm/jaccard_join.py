@@ -152,7 +152,7 @@ def join(df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id
                 if len(h):
                     yield k, size, doc, len(h), count_vector(h).tobytes(), h.tobytes()
 
-    sets = map_rows(docs.join(members, "id").select("k", "size", "id", "text"), whole, "k bigint, size bigint, id bigint, n int, counts binary, hashes binary")
+    sets = map_rows(docs.join(members.hint("merge"), "id").select("k", "size", "id", "text"), whole, "k bigint, size bigint, id bigint, n int, counts binary, hashes binary")
     split = in_blocks(sets, "k", "size", "id").select("k", "i", "j", "own", "id", "n", "counts", "hashes")
     linked_ids = components(forests(split, percent))
 
