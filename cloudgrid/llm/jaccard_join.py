@@ -8,9 +8,11 @@
    that may be linked, and each of these is verified by exact intersection. The
    components of verified pairs are the result.
 
-Units above BLOCK rows are split into blocks, and each pair of blocks is a task
-of its own, so no group has to fit one task. Pairs inside one already connected
-part are never looked at, so groups of copies stay linear within a task.
+A unit above BLOCK rows is split into blocks. All rows first meet one block; the
+largest part that this connects needs no pairs within itself, and only the rows
+outside it then meet all blocks. So no group has to fit one task, and a group of
+copies of one text takes linear work however large it is. Within a task, pairs
+of one already connected part are passed over.
 """
 
 from __future__ import annotations
@@ -59,12 +61,26 @@ def signatures(df: DataFrame, width: int) -> DataFrame:
     return map_rows(df, run, "id bigint, n int, key binary, bands array<bigint>")
 
 
-def in_blocks(df: DataFrame, key: str, size: str, side: str) -> DataFrame:
-    """Adds i, j: rows of a key with more than BLOCK rows are copied to each pair of blocks that holds theirs."""
-    blocks = F.ceil(F.col(size) / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64(side), blocks).cast("int")
-    spread = df.withColumns({"_b": blocks, "own": own}).withColumn("_o", F.explode(F.sequence(F.lit(0), F.col("_b") - 1)))
-    return spread.withColumns({"i": F.least("own", "_o"), "j": F.greatest("own", "_o")}).drop("_b", "_o")
+FIELDS = ["k", "i", "j", "own", "id", "n", "counts", "hashes"]
+
+
+def large_units(sets: DataFrame, percent: int) -> DataFrame:
+    """Edges (a, b) of units of more than BLOCK rows; sets: (k, size, id, n, counts, hashes)."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    cut = sets.withColumns({"blocks": blocks, "own": F.pmod(F.xxhash64("id"), blocks).cast("int")})
+    copies = F.when(F.col("own") == 0, F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("own"))
+    first = materialise(forests(cut.withColumns({"i": F.lit(0), "j": F.explode(copies)}).select(*FIELDS), percent))
+
+    parts = components(first).withColumnRenamed("v", "id")
+    named = sets.select("k", "id").distinct().join(parts, "id", "left").select("k", "id", F.coalesce("component", "id").alias("part"))
+    counted = named.groupBy("k", "part").agg(F.count("*").alias("n"))
+    main = counted.groupBy("k").agg(F.max(F.struct("n", "part")).alias("m")).select("k", F.col("m.part").alias("main"))
+    rest = materialise(named.join(main, "k").where("part <> main").select("k", "id"))
+    many = rest.groupBy("k").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("queries"))
+    asked = cut.join(rest, ["k", "id"], "left_semi").join(many, "k").withColumns({"i": F.pmod(F.xxhash64("id"), F.col("queries")).cast("int"), "j": F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))})
+    all_rows = cut.join(many, "k").withColumns({"i": F.explode(F.sequence(F.lit(0), F.col("queries") - 1)), "j": F.col("own")})
+    met = asked.withColumn("own", F.lit(-1)).select(*FIELDS).unionByName(all_rows.select(*FIELDS))
+    return first.unionByName(forests(met, percent))
 
 
 def _runs(batches) -> Iterator[pa.Table]:
@@ -97,7 +113,7 @@ def _matrix(column, width: int) -> np.ndarray:
 
 
 def forests(grouped: DataFrame, percent: int) -> DataFrame:
-    """Edges (a, b) of a forest of linked sets for each group (k, i, j) of rows (k, i, j, own, id, n, counts, hashes)."""
+    """Edges (a, b) of a forest of linked sets for each group (k, i, j) of rows of FIELDS; own: only rows that differ in it are compared, if any do."""
 
     def run(batches):
         for t in _runs(batches):
@@ -106,7 +122,7 @@ def forests(grouped: DataFrame, percent: int) -> DataFrame:
             starts = np.concatenate([[0], np.flatnonzero((k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1])
             for s, m in zip(starts.tolist(), np.diff(np.append(starts, len(k))).tolist(), strict=True):
                 rows = slice(s, s + m)
-                across = own[rows] if i[s] != j[s] else None
+                across = own[rows] if own[rows].min() != own[rows].max() else None
                 verify = lambda x, y, s=s: linked(sets[s + x], sets[s + y], percent)
                 for x, y in CountTree(counts[rows], n[rows]).forest(percent, verify, across):
                     yield int(ids[s + x]), int(ids[s + y])
@@ -152,9 +168,12 @@ def join(df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id
                 if len(h):
                     yield k, size, doc, len(h), count_vector(h).tobytes(), h.tobytes()
 
-    sets = map_rows(docs.join(members.hint("merge"), "id").select("k", "size", "id", "text"), whole, "k bigint, size bigint, id bigint, n int, counts binary, hashes binary")
-    split = in_blocks(sets, "k", "size", "id").select("k", "i", "j", "own", "id", "n", "counts", "hashes")
-    linked_ids = components(forests(split, percent))
+    sets = materialise(map_rows(docs.join(members.hint("merge"), "id").select("k", "size", "id", "text"), whole, "k bigint, size bigint, id bigint, n int, counts binary, hashes binary"))
+    edges = forests(sets.where(F.col("size") <= BLOCK).withColumns(dict.fromkeys(["i", "j", "own"], F.lit(0))).select(*FIELDS), percent)
+    large = sets.where(F.col("size") > BLOCK)
+    if not large.isEmpty():
+        edges = edges.unionByName(large_units(large, percent))
+    linked_ids = components(edges)
 
     named = classes.join(linked_ids.withColumnRenamed("v", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("least"))
     placed = made.select("id", "n", "key").join(named, "key", "left")
