@@ -97,3 +97,31 @@ def test_streaming_ingest(spark, tmp_path):
     stream = spark.readStream.schema(points(spark).schema).option("maxFilesPerTrigger", 1).parquet(src)
     ingest(stream, e, "live", f"{tmp_path}/cp", "10,10", ["id"]).awaitTermination(120)
     assert e.points(collection="live").count() == 2000
+
+
+def test_service(engine, spark):
+    import threading
+    from urllib.error import HTTPError
+    from urllib.request import Request, urlopen
+
+    from cloudgrid.plans.service import serve
+
+    server = serve(engine)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    base = f"http://127.0.0.1:{server.server_port}"
+    try:
+        body = urlopen(f"{base}/points?bounds=0,0,0,10,5,9&p=0.5").read()
+        assert ipc.from_stream(spark, body).count() == engine.points("0,0,0,10,5,9", 0.5).count()
+        urlopen(Request(f"{base}/load?collection=sent", body, method="POST"))
+        assert b'"sent"' in urlopen(f"{base}/status").read()
+        urlopen(f"{base}/index?collection=sent")
+        assert engine.status()["sent"]["indexed"]
+        urlopen(Request(f"{base}/index", method="DELETE"))
+        urlopen(Request(f"{base}/load?collection=sent", method="DELETE"))
+        assert "sent" not in engine.status()
+        for path, code in (("/points?collection=sent", 404), ("/odd", 404), ("/points?bounds=1,2,3", 400), ("/load", 400)):
+            with pytest.raises(HTTPError) as e:
+                urlopen(base + path)
+            assert e.value.code == code
+    finally:
+        server.shutdown()
