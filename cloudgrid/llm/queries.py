@@ -21,7 +21,7 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     back = warc.read(warc.merge(warc.write(table(spark, sf_dir, "pages"))), digest_only=True)
-    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to", "range_no", "range_pos")
+    return back.select(F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,4 +62,4 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_quality_rules, op2_warc, op3_url_filters, op4_token_files, op5_language_id, op6_jaccard_join, op7_toxicity, op8_fingerprints, op9_byte_bpe, op10_packing)}
-ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op6_jaccard_join": jaccard_join.SQL}
+ORACLE_SQL: dict[str, str] = {"op1_quality_rules": quality.SQL, "op2_warc": warc.SQL, "op6_jaccard_join": jaccard_join.SQL}

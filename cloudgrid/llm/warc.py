@@ -219,3 +219,20 @@ def read(index: DataFrame, digest_only: bool = False) -> DataFrame:
     asked = index.select("range_no", "range_pos", "path", "offset", "length", (F.col("seq") / 500).cast("bigint").alias("stretch"))
     dealt = asked.repartition(partitions(index.sparkSession), "path", "stretch").sortWithinPartitions("path", "offset").drop("stretch")
     return map_rows(dealt, run, "range_no bigint, range_pos bigint, id bigint, url string, record_type string, refers_to bigint, payload_digest string, payload_bytes bigint" + ("" if digest_only else ", payload binary"))
+
+
+#: What op2_warc returns, for DuckDB: base 32 is taken from the digest's bits.
+SQL = """
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS sha FROM pages),
+b AS (
+  SELECT *, array_to_string(list_transform(string_split(sha, ''), lambda c:
+    substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * strpos('0123456789abcdef', c) - 3, 4)), '') AS bits,
+    min(page_id) OVER (PARTITION BY sha) AS first
+  FROM p
+)
+SELECT page_id, payload_bytes, array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    (1 + 16 * substr(bits, 5 * i + 1, 1)::INT + 8 * substr(bits, 5 * i + 2, 1)::INT + 4 * substr(bits, 5 * i + 3, 1)::INT + 2 * substr(bits, 5 * i + 4, 1)::INT + substr(bits, 5 * i + 5, 1)::INT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM b
+"""
