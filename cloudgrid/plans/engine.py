@@ -56,7 +56,8 @@ class Engine:
         made = c.grid.with_cells(df)
         if cells:
             spread = [x for x in cells if x != "ci"] or cells
-            made = made.repartition(*spread).sortWithinPartitions(*cells, *(["i"] if "i" in df.columns else []))
+            # rebalanced, not only dealt by cell: a cell with very many points becomes several partitions
+            made = made.hint("rebalance", *spread).sortWithinPartitions(*cells, *(["i"] if "i" in df.columns else []))
         out = made.write.mode("append").option("compression", "zstd")
         for d in dimensions(df.schema):
             out = out.option(f"parquet.enable.dictionary#{d}", "false")

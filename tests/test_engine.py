@@ -125,3 +125,16 @@ def test_service(engine, spark):
             assert e.value.code == code
     finally:
         server.shutdown()
+
+
+def test_a_hot_cell_is_split(spark, tmp_path):
+    e = Engine(spark, f"file://{tmp_path}/s")
+    names = ["spark.sql.adaptive.advisoryPartitionSizeInBytes", "spark.sql.adaptive.coalescePartitions.minPartitionSize"]
+    for n in names:
+        spark.conf.set(n, "64k")
+    try:
+        e.append(spark.range(100_000).selectExpr("id", "1D x", "1D y", "1D z"), "hot", "10,10", ["id"])
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+    assert e.cloud("hot").df.inputFiles().__len__() > 3 and e.points(collection="hot").count() == 100_000
