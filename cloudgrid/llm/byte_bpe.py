@@ -17,8 +17,8 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_rows
-from .pieces import PieceEncoder, _workers
+from .common import chunks, held, map_rows
+from .pieces import PieceEncoder
 
 
 def byte_chars() -> list[str]:
@@ -100,15 +100,15 @@ class ByteBpe:
 
 
 def worker_bpe(model: bytes, pattern: str) -> ByteBpe:
-    """One ByteBpe for each Python worker and model; the ranks are read out of the model's pieces."""
-    key = ("byte_bpe", pattern, hashlib.sha1(model).digest())
-    if key not in _workers:
+    """A ByteBpe kept by each Python worker; the ranks are read out of the model's pieces."""
+
+    def make() -> ByteBpe:
         import sentencepiece
 
         p, back = sentencepiece.SentencePieceProcessor(model_proto=model), {c: b for b, c in enumerate(byte_chars())}
-        ranks = {bytes(back[c] for c in p.id_to_piece(i)): i for i in range(p.get_piece_size() - 1)}
-        _workers[key] = ByteBpe(model, ranks, pattern)
-    return _workers[key]
+        return ByteBpe(model, {bytes(back[c] for c in p.id_to_piece(i)): i for i in range(p.get_piece_size() - 1)}, pattern)
+
+    return held(("byte_bpe", pattern, hashlib.sha1(model).digest()), make)
 
 
 def _rows(df: DataFrame, id_col: str, text_col: str, model: bytes, pattern: str, row, fields: str) -> DataFrame:

@@ -14,6 +14,22 @@ from pyspark.sql import functions as F
 WORD_GAP = "[\x20\x09-\x0d]+"
 
 
+_held: dict = {}
+
+
+def held(key, make):
+    """What a Python worker keeps between tasks: one thing at a time, so that stages don't add up."""
+    if key not in _held:
+        _held.clear()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """Let go of what an earlier stage has left in this worker."""
+    _held.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

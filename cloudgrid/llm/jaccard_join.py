@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, partitions
+from .common import map_rows, materialise, partitions, release
 from .components import components
 from .count_tree import GROUPS, CountTree, count_vector, enough
 from .shingles import mix, shingle_hashes
@@ -53,6 +53,7 @@ def signatures(df: DataFrame, width: int) -> DataFrame:
     """(id, n, key binary, bands array<bigint>) of each row of (id, text); no words: a null key and no bands."""
 
     def run(batches):
+        release()
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 h = shingle_hashes((text or "").encode().lower(), width)

@@ -187,8 +187,11 @@ def main_language(model: Model, size: np.ndarray, path: np.ndarray) -> tuple[str
     return model.langs[int(letters.argmax())], float(letters.max() / letters.sum())
 
 
-def keep_identified(df: DataFrame, model: Model, min_score: float = 0.5, switch: float = SWITCH, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that have a language with a share of min_score or more."""
+def keep_identified(df: DataFrame, model: Model, min_score: float = 0.3, switch: float = SWITCH, text_col: str = "text") -> DataFrame:
+    """The rows, with all their columns, whose main language has a share of min_score of their letters or more.
+
+    A clean text with a line or two of another language stays; one without a letter, or of scraps of many languages, goes.
+    """
 
     def decide(batch):
         found = [main_language(model, size, path) for _, size, path in paths([batch], model, switch)]

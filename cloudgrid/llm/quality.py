@@ -35,6 +35,7 @@ RULES = (
     Rule("exclamations", "4 * (length(text) - length(replace(text, '!!', '!'))) > n_words"),
     Rule("capitals", "length(regexp_replace(text, '[^\\\\p{Lu}]+', '')) > 0.6 * greatest(20, length(regexp_replace(text, '[^\\\\p{L}]+', '')))"),
     Rule("wordless", "regexp_count(text, '(?:^|[ \\\\t-\\\\r])[^ \\\\t-\\\\r\\\\p{L}]+(?=[ \\\\t-\\\\r]|\\\\z)') > 0.4 * n_words"),
+    Rule("stutters", "regexp_count(text, '(?<![^ \\\\t-\\\\r])([^ \\\\t-\\\\r]++)(?=[ \\\\t-\\\\r]+\\\\1(?![^ \\\\t-\\\\r]))') > 0.4 * n_words"),
 )
 
 
@@ -178,6 +179,7 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_wo
     OR 4 * (length(text) - length(replace(text, '!!', '!'))) > n_words
     OR length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) > 0.6 * greatest(20, length(regexp_replace(text, '[^\p{L}]+', '', 'g')))
     OR len(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{L}'))) > 0.4 * n_words
+    OR len(list_filter(range(2, n_words + 1), lambda i: ws[i] = ws[i - 1])) > 0.4 * n_words
   ) AS kept
 FROM h
 """

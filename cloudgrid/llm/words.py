@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import chunks, release
 
 _letters = re.compile(r"[^\W\d_]+").findall
 
@@ -36,8 +36,9 @@ class Batch:
     bounds: np.ndarray
 
 
-def word_batches(batches, split=letter_words, limit: int = 1 << 22) -> Iterator[Batch]:
+def word_batches(batches, split=letter_words, limit: int = 1 << 21) -> Iterator[Batch]:
     """Rows of Arrow batches whose last column is text, null texts as empty ones."""
+    release()
     for batch in batches:
         rows = zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)
         for some in chunks(rows, lambda r: len(r[-1] or ""), limit):

@@ -17,7 +17,7 @@ def test_stages_against_a_plain_version(spark):
     labels = spark.read.parquet(f"{DATA}/labels.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
     lang = langid.identify(docs, langid.fit(docs.where(~held_out("doc_id")))).collect()
-    known = {r.doc_id for r in lang if r.lang_pred != "und" and r.score >= 0.5}
+    known = {r.doc_id for r in lang if r.lang_pred != "und" and r.score >= 0.3}
     left = docs.where(docs.doc_id.isin(sorted(known)))
     model = toxicity.fit(left, labels.where(~held_out("doc_id")))
     clean = {r.doc_id for r in toxicity.score(left, model).collect() if not r.predicted}

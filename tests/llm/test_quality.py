@@ -27,6 +27,7 @@ def texts():
         (12, " ".join(WORDS[:8] + WORDS[12:] + WORDS[:8] + WORDS[10:12])),
         (13, " ".join(str(k % 977) for k in range(30_000))),
         (14, " ".join("abcdefgh")),
+        (15, " ".join(w for w in WORDS for _ in range(3))),
     ]
 
 
@@ -53,7 +54,7 @@ def test_base_counts_and_verdicts(spark):
     want = Counter((i, *brute(t)) for i, t in texts())
     assert Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in got) == want
     kept = {r.doc_id for r in got if r.kept}
-    assert {1, None} <= kept and not kept & {2, 3, 4, 5, 6, 7, 8, 9, 10, 14}
+    assert {1, None} <= kept and not kept & {2, 3, 4, 5, 6, 7, 8, 9, 10, 14, 15}
 
 
 def test_sql_agrees(spark):
