@@ -17,7 +17,7 @@ from collections.abc import Iterable, Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, held, map_rows
+from .common import chunks, held, map_rows, rows_of
 from .pieces import PieceEncoder
 
 
@@ -116,11 +116,9 @@ def _rows(df: DataFrame, id_col: str, text_col: str, model: bytes, pattern: str,
 
     def run(batches):
         bpe = worker_bpe(model, pattern)
-        for batch in batches:
-            pairs = zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-            for some in chunks(pairs, lambda r: len(r[1] or ""), 1 << 20):
-                for (doc, _), ids in zip(some, bpe.encode([t or "" for _, t in some]), strict=True):
-                    yield doc, *row(bpe, ids)
+        for some in chunks(rows_of(batches), lambda r: len(r[1] or ""), 1 << 22):
+            for (doc, _), ids in zip(some, bpe.encode([t or "" for _, t in some]), strict=True):
+                yield doc, *row(bpe, ids)
 
     return map_rows(own, run, f"id {own.schema[0].dataType.simpleString()}, {fields}").withColumnRenamed("id", id_col)
 

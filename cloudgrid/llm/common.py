@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import tempfile
 import uuid
@@ -20,14 +22,27 @@ _held: dict = {}
 def held(key, make):
     """What a Python worker keeps between tasks: one thing at a time, so that stages don't add up."""
     if key not in _held:
-        _held.clear()
+        release()
         _held[key] = make()
     return _held[key]
 
 
 def release() -> None:
-    """Let go of what an earlier stage has left in this worker."""
+    """Let go of what an earlier stage has left in this worker, and give freed memory back to the system."""
     _held.clear()
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def rows_of(batches: Iterable, step: int = 500) -> Iterator[tuple]:
+    """Rows of Arrow batches, a few at a time as Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, step):
+            part = batch.slice(at, step)
+            yield from zip(*(part.column(i).to_pylist() for i in range(part.num_columns)), strict=True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -137,7 +152,10 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
 
 def filter_rows(df: DataFrame, text_col: str, decide) -> DataFrame:
     """The rows for which decide holds, all columns as they are; decide takes a batch of texts and gives Booleans."""
-    own = df.withColumn("_text", F.col(text_col).cast("string"))
+    name = "_text"
+    while name in df.columns:
+        name += "_"
+    own = df.withColumn(name, F.col(text_col).cast("string"))
 
     def run(batches):
         import pyarrow as pa

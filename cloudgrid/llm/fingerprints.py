@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import map_rows, partitions
+from .common import map_rows, partitions, rows_of
 from .shingles import shingle_hashes
 
 #: Hashes kept: the standard error of a likeness of a half is about 0.04.
@@ -68,10 +68,9 @@ def sketch(df: DataFrame, k: int = K, width: int = 5, id_col: str = "doc_id", te
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                made = BottomK.of((text or "").encode(), k, width)
-                yield doc, str(made), made.distinct()
+        for doc, text in rows_of(batches):
+            made = BottomK.of((text or "").encode(), k, width)
+            yield doc, str(made), made.distinct()
 
     return map_rows(own, run, f"id {own.schema[0].dataType.simpleString()}, fingerprint string, n_distinct double").withColumnRenamed("id", id_col)
 
@@ -127,10 +126,6 @@ def edit_neighbours(df: DataFrame, k: int = K, width: int = 5, id_col: str = "do
     both = own.withColumn("extra", F.lit(False)).unionByName(ends.withColumn("extra", F.lit(True))).withColumn("tie", F.xxhash64("text"))
     dealt = both.repartitionById(n, F.col("range")).sortWithinPartitions("range", "extra", F.desc_nulls_last("id"), "tie").select("id", "text", "extra")
 
-    def rows(batches):
-        for b in batches:
-            yield from zip(*(b.column(i).to_pylist() for i in range(3)), strict=True)
-
     def finish(doc, text, own_sketch, next_text, next_sketch):
         cut = len(text) // 3
         edited = (text[: len(text) - cut] + next_text[:cut]).encode()
@@ -139,7 +134,7 @@ def edit_neighbours(df: DataFrame, k: int = K, width: int = 5, id_col: str = "do
 
     def run(batches):
         held = None
-        for doc, text, extra in rows(batches):
+        for doc, text, extra in rows_of(batches):
             made = BottomK.of(text.encode(), k, width)
             if held:
                 yield finish(*held, text, made)

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, partitions, release
+from .common import map_rows, materialise, partitions, release, rows_of
 from .components import components
 from .count_tree import GROUPS, CountTree, count_vector, enough
 from .shingles import mix, shingle_hashes
@@ -54,10 +54,9 @@ def signatures(df: DataFrame, width: int) -> DataFrame:
 
     def run(batches):
         release()
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                h = shingle_hashes((text or "").encode().lower(), width)
-                yield doc, len(h), *((xxhash.xxh3_128_digest(h.tobytes()), band_hashes(h).tolist()) if len(h) else (None, []))
+        for doc, text in rows_of(batches):
+            h = shingle_hashes((text or "").encode().lower(), width)
+            yield doc, len(h), *((xxhash.xxh3_128_digest(h.tobytes()), band_hashes(h).tolist()) if len(h) else (None, []))
 
     return map_rows(df, run, "id bigint, n int, key binary, bands array<bigint>")
 
@@ -163,11 +162,10 @@ def join(df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id
     members = likely.join(sizes, "component").select(F.col("v").alias("id"), F.col("component").alias("k"), "size")
 
     def whole(batches):
-        for batch in batches:
-            for k, size, doc, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
-                h = shingle_hashes((text or "").encode().lower(), width)
-                if len(h):
-                    yield k, size, doc, len(h), count_vector(h).tobytes(), h.tobytes()
+        for k, size, doc, text in rows_of(batches):
+            h = shingle_hashes((text or "").encode().lower(), width)
+            if len(h):
+                yield k, size, doc, len(h), count_vector(h).tobytes(), h.tobytes()
 
     sets = materialise(map_rows(docs.join(members.hint("merge"), "id").select("k", "size", "id", "text"), whole, "k bigint, size bigint, id bigint, n int, counts binary, hashes binary"))
     edges = forests(sets.where(F.col("size") <= BLOCK).withColumns(dict.fromkeys(["i", "j", "own"], F.lit(0))).select(*FIELDS), percent)

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filter_rows, map_rows
-from .words import held_out, letter_words, ngrams, number, sample_groups, word_batches
+from .words import WORDS, held_out, letter_words, ngrams, number, sample_groups, word_batches
 
 BUCKETS, LENGTHS, SEED = 1 << 16, (1, 2, 3, 4), 11
 #: Nats that a change of language costs.
@@ -91,6 +91,9 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log posterior of each language for each word; half of the n-grams' sum, since they overlap."""
+        return np.concatenate([self._scores(words[at : at + WORDS]) for at in range(0, len(words), WORDS)])
+
+    def _scores(self, words: list[str]) -> np.ndarray:
         bucket, owner = ngrams(words, LENGTHS, BUCKETS)
         order = np.argsort(owner, kind="stable")
         total = np.add.reduceat(self.table[bucket[order]], np.searchsorted(owner[order], np.arange(len(words)))).astype(np.float64) / 2

@@ -16,7 +16,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, map_rows, materialise, partitions
+from .common import chunks, map_rows, materialise, partitions, rows_of
 from .pieces import encoded, tokenizers_encoder
 
 DIMENSIONS, BITS, BUCKETS, SEED = 3, 16, 256, 7
@@ -79,7 +79,7 @@ def tokens(df: DataFrame, model: str, end_id: int, vocabulary: int, mode: str =
     def run(batches):
         encoder, projection = tokenizers_encoder(model, mode), Projection(vocabulary)
         end, dtype = encoder.pack([end_id]), np.dtype("<u4" if encoder.code == "I" else "<u2")
-        for some in chunks(encoded(batches, encoder, ["id"], "text"), lambda r: len(r[1]) + 1000, 1 << 21):
+        for some in chunks(encoded(batches, encoder), lambda r: len(r[1]) + 1000, 1 << 21):
             keys = projection.keys(np.array([projection.vector(np.frombuffer(ids, dtype)) for _, ids in some]))
             yield from ((doc, ids + end, key) for (doc, ids), key in zip(some, keys.tolist(), strict=True))
 
@@ -141,8 +141,7 @@ def _pack(df, model, end_id, vocabulary, length, mode, id_col, text_col, digest,
 
     def run(batches):
         base = TaskContext.get().partitionId() << 32
-        docs = ((doc, ids) for b in batches for doc, ids in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
-        for doc, start, ids, n, number, offset in sequences(docs, width, length):
+        for doc, start, ids, n, number, offset in sequences(rows_of(batches), width, length):
             yield doc, start, *digest(ids, width), n, base + number, offset
 
     kind = made.schema["id"].dataType.simpleString()

@@ -18,15 +18,72 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
-#: Pieces kept by one Python worker; about 200 bytes each.
-CACHE_PIECES = 2_000_000
+from .common import chunks, held, rows_of
+
+#: Pieces that one Python worker keeps: as objects, of about 200 bytes, and in arrays, of about 35.
+HOT, RECENT, PACKED = 100_000, 50_000, 1_200_000
 #: What stands between unknown pieces that are encoded as one text: a cut of its own, of one id.
 SEPARATORS = {"byte_level": "\n", "word": " \x01 "}
-_workers: dict = {}
 _other_space = re.compile(r"[^\S \n]").search
 
 
+class PieceTable:
+    """Packed ids by piece. The first HOT pieces stay in a dict; later ones go through a small dict into sorted arrays.
+
+    The arrays are searched by 128-bit hashes. When they are full they are emptied.
+    """
+
+    def __init__(self):
+        self.hot: dict[str, bytes] = {}
+        self.recent: dict[str, bytes] = {}
+        self._empty()
+
+    def _empty(self) -> None:
+        self.high, self.low = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size, self.blob = np.zeros(0, np.int64), np.zeros(0, np.uint32), b""
+
+    @staticmethod
+    def _hashes(pieces) -> np.ndarray:
+        return np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in pieces]), np.uint64).reshape(-1, 2)
+
+    def get(self, pieces: list[str]) -> list[bytes | None]:
+        found = list(map(self.hot.get, pieces))
+        if None in found:
+            at = [k for k, v in enumerate(found) if v is None]
+            for k, v in zip(at, map(self.recent.get, [pieces[k] for k in at]), strict=True):
+                found[k] = v
+            at = [k for k in at if found[k] is None]
+            if at and len(self.high):
+                h = self._hashes([pieces[k] for k in at])
+                place = np.minimum(np.searchsorted(self.high, h[:, 0]), len(self.high) - 1)
+                hit = np.flatnonzero((self.high[place] == h[:, 0]) & (self.low[place] == h[:, 1]))
+                start = self.start[place[hit]]
+                for k, a, b in zip(hit.tolist(), start.tolist(), (start + self.size[place[hit]]).tolist(), strict=True):
+                    found[at[k]] = self.blob[a:b]
+        return found
+
+    def add(self, new: dict[str, bytes]) -> None:
+        if len(self.hot) < HOT:
+            self.hot |= new
+            return
+        self.recent |= new
+        if len(self.recent) < RECENT:
+            return
+        if len(self.high) > PACKED:
+            self._empty()
+        h, ids = self._hashes(self.recent), list(self.recent.values())
+        size = np.fromiter(map(len, ids), np.uint32, len(ids))
+        start = len(self.blob) + np.cumsum(size, dtype=np.int64) - size
+        high = np.concatenate([self.high, h[:, 0]])
+        order = np.argsort(high, kind="stable")
+        self.high, self.low = high[order], np.concatenate([self.low, h[:, 1]])[order]
+        self.start, self.size = np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+        self.blob += b"".join(ids)
+        self.recent = {}
+
+
 class PieceEncoder:
     """encode_many maps strings to id lists; mode says which cuts are safe.
 
@@ -37,7 +94,7 @@ class PieceEncoder:
 
     def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], mode: str, wide: bool = False, joined: bool = False):
         self.encode_many, self.mode, self.code = encode_many, mode, "I" if wide else "H"
-        self.cache: dict[str, bytes] = {}
+        self.table = PieceTable()
         mark = encode_many([SEPARATORS[mode]])[0] if joined and mode in SEPARATORS else []
         self.mark = mark[0] if len(mark) == 1 else None
         self.feed = self.pack(encode_many(["\n"])[0]) if mode == "byte_level" else b""
@@ -87,14 +144,12 @@ class PieceEncoder:
         cut = pc.split_pattern(pa.array([t for t in ready if t is not None], pa.large_string()), " ")
         pieces = cut.flatten().dictionary_encode()
         names = pieces.dictionary.to_pylist()
-        found = list(map(self.cache.get, names))
+        found = self.table.get(names)
         if None in found:
             missing = [p for p, ids in zip(names, found, strict=True) if ids is None]
             new = dict(zip(missing, self._learn(missing), strict=True))
             found = [new[p] if ids is None else ids for p, ids in zip(names, found, strict=True)]
-            if len(self.cache) + len(new) > CACHE_PIECES:
-                self.cache.clear()
-            self.cache.update(new)
+            self.table.add(new)
         joined = pa.array(found, pa.large_binary()).take(pieces.indices)
         ends = np.frombuffer(joined.buffers()[1], np.int64)[joined.offset :][cut.offsets.to_numpy()].tolist() if len(joined) else [0] * (len(cut) + 1)
         raw = memoryview(joined.buffers()[2] or b"")
@@ -109,16 +164,17 @@ class PieceEncoder:
 
 
 def tokenizers_encoder(model: str, mode: str) -> PieceEncoder:
-    """An encoder of the tokenizers library, one for each Python worker and model."""
-    key = ("tokenizers", mode, hashlib.sha1(model.encode()).digest())
-    if key not in _workers:
+    """An encoder of the tokenizers library, kept by each Python worker."""
+
+    def make() -> PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(model)
         t.encode_special_tokens = True  # strings of special tokens in a text are text
-        _workers[key] = PieceEncoder(lambda xs: [e.ids for e in t.encode_batch_fast(xs, add_special_tokens=False)], mode, t.get_vocab_size() > 1 << 16, joined=True)
-    return _workers[key]
+        return PieceEncoder(lambda xs: [e.ids for e in t.encode_batch_fast(xs, add_special_tokens=False)], mode, t.get_vocab_size() > 1 << 16, joined=True)
+
+    return held(("tokenizers", mode, hashlib.sha1(model.encode()).digest()), make)
 
 
 def read_model(path: str) -> str:
@@ -126,12 +182,8 @@ def read_model(path: str) -> str:
         return f.read()
 
 
-def encoded(batches: Iterable, encoder: PieceEncoder, columns: list[str], text: str) -> Iterator[tuple]:
-    """Rows of Arrow batches as (values of columns..., packed ids); a null text is empty."""
-    from .common import chunks
-
-    for batch in batches:
-        rows = zip(*(batch.column(c).to_pylist() for c in [*columns, text]), strict=True)
-        for some in chunks(rows, lambda r: len(r[-1] or ""), 1 << 22):
-            for row, ids in zip(some, encoder.encode([r[-1] or "" for r in some]), strict=True):
-                yield *row[:-1], ids
+def encoded(batches: Iterable, encoder: PieceEncoder) -> Iterator[tuple]:
+    """Rows of Arrow batches that end in text, with packed ids in its place; a null text is empty."""
+    for some in chunks(rows_of(batches), lambda r: len(r[-1] or ""), 1 << 22):
+        for row, ids in zip(some, encoder.encode([r[-1] or "" for r in some]), strict=True):
+            yield *row[:-1], ids

@@ -169,7 +169,7 @@ def write(df: DataFrame, model: str, end_id: int, folder: str | None = None, mod
             write_file(uri, shard_bytes(docs, np.cumsum(lengths), parts, width))
             return task.partitionId(), seq, uri, len(docs), held
 
-        for doc, ids in encoded(batches, encoder, ["id"], "text"):
+        for doc, ids in encoded(batches, encoder):
             docs.append(doc)
             parts += [ids, end]
             lengths.append(len(ids) // width + 1)

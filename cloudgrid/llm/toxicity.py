@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filter_rows, map_rows
-from .words import held_out, letter_words, ngrams, number, sample_groups, word_batches
+from .words import WORDS, held_out, letter_words, ngrams, number, sample_groups, word_batches
 
 BUCKETS, LENGTHS, SEED = 1 << 17, (3, 4, 5), 5
 DIMENSIONS, STEPS, RATE, Z = 8, 150, 0.2, 5.5
@@ -34,6 +34,9 @@ class Model:
     bias: float
 
     def word_logits(self, words: list[str]) -> np.ndarray:
+        return np.concatenate([self._logits(words[at : at + WORDS]) for at in range(0, len(words), WORDS)])
+
+    def _logits(self, words: list[str]) -> np.ndarray:
         bucket, owner = ngrams(words, LENGTHS, BUCKETS)
         return np.bincount(owner, self.weight[bucket], len(words)) / np.bincount(owner, minlength=len(words))
 

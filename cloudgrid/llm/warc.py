@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialise, open_file, partitions, shared_dir, write_file
+from .common import map_rows, materialise, open_file, partitions, rows_of, shared_dir, write_file
 
 DATE = "2000-01-01T00:00:00Z"
 #: Payload bytes after which an archive ends, and index entries that one range of the merge holds at most on average.
@@ -144,16 +144,15 @@ def write(df: DataFrame, folder: str | None = None, min_bytes: int = 0, id_col:
                 at += len(part)
             return sorted(placed, key=entry_key)
 
-        for batch in batches:
-            for doc, url, body, sha, first in zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True):
-                digest = base64.b32encode(bytes.fromhex(sha)).decode()
-                revisit = first is not None and first != doc
-                parts.append(record("revisit" if revisit else "response", doc, url, date, digest, b"" if revisit else body, len(body), first))
-                entries.append((url_key(url), date, doc, "revisit" if revisit else "response", digest))
-                size += len(body)
-                if size >= ARCHIVE_BYTES:
-                    yield from flush()
-                    parts, entries, size = [], [], 0
+        for doc, url, body, sha, first in rows_of(batches):
+            digest = base64.b32encode(bytes.fromhex(sha)).decode()
+            revisit = first is not None and first != doc
+            parts.append(record("revisit" if revisit else "response", doc, url, date, digest, b"" if revisit else body, len(body), first))
+            entries.append((url_key(url), date, doc, "revisit" if revisit else "response", digest))
+            size += len(body)
+            if size >= ARCHIVE_BYTES:
+                yield from flush()
+                parts, entries, size = [], [], 0
         if entries:
             yield from flush()
 
@@ -188,9 +187,8 @@ def merge(runs: DataFrame) -> DataFrame:
     dealt = runs.repartitionByRange(n, "url_key", "captured", F.asc_nulls_first("id"), "run", "seq")
 
     def run(batches):
-        rows = (row for b in batches for row in zip(*(b.column(c).to_pylist() for c in range(b.num_columns)), strict=True))
         part = TaskContext.get().partitionId()
-        for pos, row in enumerate(LoserTree([iter(r) for r in sorted_runs(rows)], entry_key)):
+        for pos, row in enumerate(LoserTree([iter(r) for r in sorted_runs(rows_of(batches))], entry_key)):
             yield part, pos, *row
 
     return map_rows(dealt, run, f"range_no bigint, range_pos bigint, {INDEX}")

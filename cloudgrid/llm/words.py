@@ -10,8 +10,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 
-from .common import chunks, release
+from .common import chunks, release, rows_of
 
+#: Words whose n-grams are in memory at once.
+WORDS = 20_000
 _letters = re.compile(r"[^\W\d_]+").findall
 
 
@@ -39,10 +41,8 @@ class Batch:
 def word_batches(batches, split=letter_words, limit: int = 1 << 21) -> Iterator[Batch]:
     """Rows of Arrow batches whose last column is text, null texts as empty ones."""
     release()
-    for batch in batches:
-        rows = zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns)), strict=True)
-        for some in chunks(rows, lambda r: len(r[-1] or ""), limit):
-            yield number(some, [split(r[-1] or "") for r in some])
+    for some in chunks(rows_of(batches), lambda r: len(r[-1] or ""), limit):
+        yield number(some, [split(r[-1] or "") for r in some])
 
 
 def number(rows: list[tuple], found: list[list[str]]) -> Batch:
@@ -67,7 +67,7 @@ def ngrams(words: list[str], lengths: tuple[int, ...], buckets: int) -> tuple[np
         return ((h ^ (h >> np.uint64(32))) % np.uint64(buckets)).astype(np.int64)
 
     h = np.zeros(len(chars), np.uint64)
-    for n in range(1, max(lengths) + 1):
+    for n in range(1, min(max(lengths), len(chars)) + 1):
         h[: len(chars) - n + 1] = (h[: len(chars) - n + 1] + chars[n - 1 :]) * prime
         h ^= h >> np.uint64(29)
         if n in lengths:

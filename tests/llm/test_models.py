@@ -139,4 +139,5 @@ def test_ngrams_of_words():
     bucket, owner = words.ngrams(["abc", "abd", "abc"], (2, 3), 1 << 20)
     of = lambda k: sorted(bucket[owner == k].tolist())
     assert len(of(0)) == 4 + 3 + 1 and of(0) == of(2) and len(set(of(0)) & set(of(1))) == 3
+    assert len(words.ngrams(["x"], (3, 4, 5), 97)[0]) == 2 and len(words.ngrams([], (3,), 97)[0]) == 0
     assert words.letter_words("Ab1c ²³ é٣x") == ["ab", "c", "é", "x"]

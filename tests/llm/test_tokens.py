@@ -44,6 +44,21 @@ def test_pieces_give_the_same_ids(name, mode):
             assert pieces.array(e.code, got).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_piece_table(monkeypatch):
+    for name, n in (("HOT", 20), ("RECENT", 30), ("PACKED", 200)):
+        monkeypatch.setattr(pieces, name, n)
+    table, ids = pieces.PieceTable(), {f"w{k}": b"%d" % k for k in range(1000)}
+    for _ in range(3):
+        for at in range(0, 1000, 7):
+            some = [f"w{k}" for k in range(at, min(1000, at + 7))]
+            found = table.get(some)
+            assert all(v is None or v == ids[p] for p, v in zip(some, found, strict=True))
+            table.add({p: ids[p] for p, v in zip(some, found, strict=True) if v is None})
+            if len(table.high) < 200:
+                assert table.get(some) == [ids[p] for p in some]
+    assert table.get(["w1"]) == [b"1"] and len(table.high) <= 250
+
+
 @given(st.lists(st.integers(0, 10**6), max_size=2000))
 def test_elias_fano(values):
     values = np.sort(np.array(values, np.int64))
