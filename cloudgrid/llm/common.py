@@ -28,8 +28,13 @@ def held(key, make):
 
 
 def release() -> None:
-    """Let go of what an earlier stage has left in this worker, and give freed memory back to the system."""
+    """Let go of what an earlier stage has left in this worker."""
     _held.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system, so that workers waiting for a task hold little."""
     import pyarrow as pa
 
     pa.default_memory_pool().release_unused()
@@ -145,7 +150,10 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
     arrow = to_arrow_schema(_parse_datatype_string(schema))
 
     def run(batches):
-        yield from row_batches(fn(batches), arrow)
+        try:
+            yield from row_batches(fn(batches), arrow)
+        finally:
+            give_back()
 
     return df.mapInArrow(run, schema)
 
@@ -160,9 +168,12 @@ def filter_rows(df: DataFrame, text_col: str, decide) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        for batch in batches:
-            text = batch.column(batch.num_columns - 1)
-            kept = batch.select(range(batch.num_columns - 1))
-            yield kept.filter(pa.array(decide(pa.RecordBatch.from_arrays([text], ["text"])), pa.bool_()))
+        try:
+            for batch in batches:
+                text = batch.column(batch.num_columns - 1)
+                kept = batch.select(range(batch.num_columns - 1))
+                yield kept.filter(pa.array(decide(pa.RecordBatch.from_arrays([text], ["text"])), pa.bool_()))
+        finally:
+            give_back()
 
     return own.mapInArrow(run, df.schema)

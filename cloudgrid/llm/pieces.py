@@ -23,7 +23,7 @@ import xxhash
 from .common import chunks, held, rows_of
 
 #: Pieces that one Python worker keeps: as objects, of about 200 bytes, and in arrays, of about 35.
-HOT, RECENT, PACKED = 100_000, 50_000, 1_200_000
+HOT, RECENT, PACKED = 60_000, 40_000, 1_200_000
 #: What stands between unknown pieces that are encoded as one text: a cut of its own, of one id.
 SEPARATORS = {"byte_level": "\n", "word": " \x01 "}
 _other_space = re.compile(r"[^\S \n]").search
@@ -184,6 +184,6 @@ def read_model(path: str) -> str:
 
 def encoded(batches: Iterable, encoder: PieceEncoder) -> Iterator[tuple]:
     """Rows of Arrow batches that end in text, with packed ids in its place; a null text is empty."""
-    for some in chunks(rows_of(batches), lambda r: len(r[-1] or ""), 1 << 22):
+    for some in chunks(rows_of(batches), lambda r: len(r[-1] or ""), 3 << 20):
         for row, ids in zip(some, encoder.encode([r[-1] or "" for r in some]), strict=True):
             yield *row[:-1], ids
