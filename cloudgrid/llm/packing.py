@@ -59,13 +59,16 @@ class Projection:
 
     def __init__(self, vocabulary: int):
         rng = np.random.default_rng(SEED)
-        self.bucket = rng.integers(0, BUCKETS, vocabulary)
-        self.sign = rng.choice([-1.0, 1.0], vocabulary)
+        self.bucket = rng.integers(0, BUCKETS, vocabulary).astype(np.int32)
+        self.sign = rng.choice([-1.0, 1.0], vocabulary).astype(np.float32)
         self.axes = rng.normal(size=(BUCKETS, DIMENSIONS))
 
-    def vector(self, ids: np.ndarray) -> np.ndarray:
-        v = np.bincount(self.bucket[ids], self.sign[ids], BUCKETS)
-        return v / (np.linalg.norm(v) or 1.0)
+    def vectors(self, texts: list[np.ndarray]) -> np.ndarray:
+        """A row of length one, or of zeros, for the ids of each text."""
+        ids, n = np.concatenate(texts), len(texts)
+        row = np.repeat(np.arange(n, dtype=np.int32) * BUCKETS, [len(t) for t in texts])
+        v = np.bincount(row + self.bucket[ids], self.sign[ids], n * BUCKETS).reshape(n, BUCKETS)
+        return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
     def keys(self, vectors: np.ndarray) -> np.ndarray:
         cells = (1 / (1 + np.exp(-1.6 * (vectors @ self.axes))) * (1 << BITS)).astype(np.int64)
@@ -80,7 +83,7 @@ def tokens(df: DataFrame, model: str, end_id: int, vocabulary: int, mode: str =
         encoder, projection = tokenizers_encoder(model, mode), Projection(vocabulary)
         end, dtype = encoder.pack([end_id]), np.dtype("<u4" if encoder.code == "I" else "<u2")
         for some in chunks(encoded(batches, encoder), lambda r: len(r[1]) + 1000, 1 << 21):
-            keys = projection.keys(np.array([projection.vector(np.frombuffer(ids, dtype)) for _, ids in some]))
+            keys = projection.keys(projection.vectors([np.frombuffer(ids, dtype) for _, ids in some]))
             yield from ((doc, ids + end, key) for (doc, ids), key in zip(some, keys.tolist(), strict=True))
 
     return map_rows(own, run, f"id {own.schema[0].dataType.simpleString()}, ids binary, key bigint")

@@ -23,7 +23,7 @@ import xxhash
 from .common import chunks, held, rows_of
 
 #: Pieces that one Python worker keeps: as objects, of about 200 bytes, and in arrays, of about 35.
-HOT, RECENT, PACKED = 60_000, 40_000, 1_200_000
+HOT, RECENT, PACKED = 60_000, 40_000, 2_000_000
 #: What stands between unknown pieces that are encoded as one text: a cut of its own, of one id.
 SEPARATORS = {"byte_level": "\n", "word": " \x01 "}
 _other_space = re.compile(r"[^\S \n]").search
