@@ -392,12 +392,21 @@ _sql_query("sql_math", f"SELECT {_ID}, floor(x / 1000)::BIGINT AS k, round(sqrt(
 WHERE c_mktsegment = 'BUILDING' AND i < 0.2::FLOAT GROUP BY ALL""")
 def sql_range_join(spark, sf_dir):
     """Points in boxes: both sides meet in cells of a grid, then the exact test."""
-    grid = Grid(2000.0)
     boxes = _boxes(spark, sf_dir).where("c_mktsegment = 'BUILDING'")
+    return _count_inside(_cloud(spark, sf_dir).sample(0.2), boxes)
+
+
+@query(f"""WITH {_PC}, {_BOXES} SELECT c_nationkey, c_mktsegment, count(*) AS n FROM bx JOIN pc ON x >= lo_x AND x < hi_x AND l_suppkey >= lo_y AND l_suppkey < hi_y
+GROUP BY ALL""")
+def sql_range_join_all(spark, sf_dir):
+    """sql_range_join of all points with all boxes."""
+    return _count_inside(_cloud(spark, sf_dir).df, _boxes(spark, sf_dir))
+
+
+def _count_inside(points: DataFrame, boxes: DataFrame) -> DataFrame:
     cells = boxes.withColumn("cx", F.explode(F.sequence(F.floor(F.col("lo_x") / 2000.0), F.floor(F.col("hi_x") / 2000.0))))
-    points = grid.with_cells(_cloud(spark, sf_dir).sample(0.2))
     inside = (F.col("x") >= F.col("lo_x")) & (F.col("x") < F.col("hi_x")) & (F.col("l_suppkey") >= F.col("lo_y")) & (F.col("l_suppkey") < F.col("hi_y"))
-    return points.join(cells, "cx").where(inside).groupBy(*_BID).agg(F.count("*").alias("n"))
+    return Grid(2000.0).with_cells(points).join(cells, "cx").where(inside).groupBy(*_BID).agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_PC} SELECT ci, lo, n FROM (SELECT floor(i::DOUBLE / 0.125::DOUBLE)::BIGINT AS ci, min(x) AS lo, count(*) AS n FROM pc GROUP BY 1) ORDER BY ci")
