@@ -310,6 +310,13 @@ def distance_matrix(spark, sf_dir):
     return geometry.distance_matrix(df.where("label = 0"), df.where("label = 1"), "vec_id", "vec_id").withColumn("distance", F.round("distance", 9))
 
 
+@query(f"WITH {_EM} SELECT p.vec_id AS a, q.vec_id AS b, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2), 9) AS distance FROM em AS p, em AS q")
+def distance_matrix_all(spark, sf_dir):
+    """distance_matrix of the whole cloud with itself."""
+    df = embeddings_cloud(spark, sf_dir)
+    return geometry.distance_matrix(df, df, "vec_id", "vec_id").withColumn("distance", F.round("distance", 9))
+
+
 _D = "(p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z)"
 _HAUSDORFF = f"""WITH {_EM}, d AS (SELECT p.vec_id AS a, q.vec_id AS b, {_D} AS d FROM em AS p, em AS q WHERE p.label % 2 = 0 AND q.label % 2 = 1)
 SELECT round(sqrt(greatest((SELECT max(m) FROM (SELECT min(d) AS m FROM d GROUP BY a)), (SELECT max(m) FROM (SELECT min(d) AS m FROM d GROUP BY b)))), 9) AS hausdorff"""

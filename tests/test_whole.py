@@ -18,3 +18,11 @@ def test_range_join_meets_all_points_and_boxes(spark):
     want = {(b.c_nationkey, b.c_mktsegment): sum(b.lo_x <= x < b.hi_x and b.lo_y <= y < b.hi_y for x, y in points) for b in boxes}
     assert got == {k: n for k, n in want.items() if n}
     assert len({segment for _, segment in got}) > 1
+
+
+def test_distance_matrix_is_of_the_whole_cloud(spark):
+    df = __spark_entry__.queries()["distance_matrix_all"](spark, DATA)
+    ids = sorted(r.vec_id for r in spark.read.parquet(f"{DATA}/embeddings.parquet").select("vec_id").collect())
+    got = {(r.a, r.b): r.distance for r in df.collect()}
+    assert len(got) == len(ids) ** 2 and sorted({a for a, _ in got}) == sorted({b for _, b in got}) == ids
+    assert all(got[a, a] == 0 and got[a, b] == got[b, a] for a in ids[:20] for b in ids)
