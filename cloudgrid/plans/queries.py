@@ -353,6 +353,14 @@ def registration_candidates(spark, sf_dir):
     return worst("a").join(worst("b"), "angle").select("angle", F.round(F.sqrt(F.greatest("fa", "fb")), 6).alias("hausdorff"))
 
 
+@query(None)
+def registration(spark, sf_dir):
+    """The angle that brings a cloud back onto itself turned by 1.4; found by search, so there is no SQL."""
+    cloud = PointCloud(embeddings_cloud(spark, sf_dir))
+    found = geometry.register(cloud, geometry.rotate_z(cloud, 1.4))
+    return spark.range(1).select(F.lit(found).alias("angle"))
+
+
 @query(f"WITH {_PC} SELECT {_ID}, x FROM pc WHERE i < 0.02::FLOAT UNION ALL SELECT {_ID}, x FROM pc WHERE i >= 0.98::FLOAT")
 def append_union(spark, sf_dir):
     cloud = _cloud(spark, sf_dir)

@@ -26,3 +26,17 @@ def test_distance_matrix_is_of_the_whole_cloud(spark):
     got = {(r.a, r.b): r.distance for r in df.collect()}
     assert len(got) == len(ids) ** 2 and sorted({a for a, _ in got}) == sorted({b for _, b in got}) == ids
     assert all(got[a, a] == 0 and got[a, b] == got[b, a] for a in ids[:20] for b in ids)
+
+
+def test_registration_finds_the_angle_with_every_point(spark, monkeypatch):
+    sizes, plain = set(), queries.geometry.hausdorff
+
+    def counted(a, b, axes):
+        if not sizes:
+            sizes.update((a.count(), b.count()))
+        return plain(a, b, axes)
+
+    monkeypatch.setattr(queries.geometry, "hausdorff", counted)
+    found = __spark_entry__.queries()["registration"](spark, DATA).first()["angle"]
+    assert sizes == {spark.read.parquet(f"{DATA}/embeddings.parquet").count()}
+    assert queries.geometry.angle_error(found, 1.4) < 0.002
