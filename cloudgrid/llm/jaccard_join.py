@@ -2,8 +2,9 @@
 
 1. Rows with equal sets form a class, whose smallest id stands for it.
 2. Classes that agree in a band of min-hashes meet; components of such meetings
-   are the units of the join. At the default threshold of 0.75 a pair right at it
-   meets in none of 80 bands of 5 with a chance of 4e-10, a likelier one still less.
+   are the units of the join. Bands follow from the threshold: a pair right at it
+   meets in none with a chance of 4e-10 at most, a likelier one still less. At the
+   default of 0.75 they are 80 bands of 5.
 3. The sets of a unit go into an R-tree over count vectors, which yields the pairs
    that may be linked, and each of these is verified by exact intersection. The
    components of verified pairs are the result.
@@ -17,7 +18,9 @@ of one already connected part are passed over.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,31 +35,51 @@ from .shingles import mix, shingle_hashes
 
 BLOCK = 1024
 BANDS, ROWS = 80, 5
-_random = np.random.default_rng(17)
-_FACTORS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-_SHIFTS = _random.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
+#: Chance at most that a pair right at the threshold meets in no band.
+MISS = 4e-10
 
 
-def band_hashes(hashes: np.ndarray) -> np.ndarray:
-    """One 64-bit hash for each band of ROWS min-hashes."""
+@cache
+def bands_for(percent: int) -> tuple[int, int]:
+    """(bands, rows of each) for a threshold: of up to ROWS rows the most for which BANDS are enough, or else one row and more bands."""
+    if not 1 <= percent <= 100:
+        raise ValueError(f"percent must be 1 to 100: {percent}")
+    for rows in range(ROWS, 0, -1):
+        apart = 1 - (percent / 100) ** rows
+        bands = math.ceil(math.log(MISS) / math.log(apart)) if apart else 1
+        if bands <= BANDS:
+            break
+    return bands, rows
+
+
+@cache
+def _hashers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    random = np.random.default_rng(17)
+    return random.integers(0, 1 << 32, n, dtype=np.uint32) | np.uint32(1), random.integers(0, 1 << 32, n, dtype=np.uint32)
+
+
+def band_hashes(hashes: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndarray:
+    """One 64-bit hash for each band of min-hashes."""
     x = (hashes >> np.uint64(32)).astype(np.uint32)
-    least = np.full(BANDS * ROWS, 0xFFFFFFFF, np.uint32)
+    factors, shifts = _hashers(bands * rows)
+    least = np.full(bands * rows, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(x), 2048):
-        np.minimum(least, (x[at : at + 2048, None] * _FACTORS + _SHIFTS).min(axis=0), out=least)
-    out = np.arange(BANDS, dtype=np.uint64)
-    for column in least.reshape(BANDS, ROWS).T.astype(np.uint64):
+        np.minimum(least, (x[at : at + 2048, None] * factors + shifts).min(axis=0), out=least)
+    out = np.arange(bands, dtype=np.uint64)
+    for column in least.reshape(bands, rows).T.astype(np.uint64):
         out = mix(out * np.uint64(0x9E3779B97F4A7C15) + column)
     return out.view(np.int64)
 
 
-def signatures(df: DataFrame, width: int) -> DataFrame:
+def signatures(df: DataFrame, width: int, percent: int) -> DataFrame:
     """(id, n, key binary, bands array<bigint>) of each row of (id, text); no words: a null key and no bands."""
+    bands = bands_for(percent)
 
     def run(batches):
         release()
         for doc, text in rows_of(batches):
             h = shingle_hashes((text or "").encode().lower(), width)
-            yield doc, len(h), *((xxhash.xxh3_128_digest(h.tobytes()), band_hashes(h).tolist()) if len(h) else (None, []))
+            yield doc, len(h), *((xxhash.xxh3_128_digest(h.tobytes()), band_hashes(h, *bands).tolist()) if len(h) else (None, []))
 
     return map_rows(df, run, "id bigint, n int, key binary, bands array<bigint>")
 
@@ -142,6 +165,11 @@ def linked(a: bytes, b: bytes, percent: int) -> bool:
 def join(df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, n_shingles, component_id) of each row: components of all pairs with 100 * shared >= percent * united.
 
+    The search for candidates is probabilistic: of unequal sets, a pair right at
+    percent is missed with a chance of MISS at most, whatever percent from 1 to
+    100 is. Low ones need more candidates: bands have fewer rows. No pair below
+    percent is linked.
+
     A-Z are lower-cased; a text of fewer than width words is one shingle. A null
     or empty text, or one without words, has no shingles and no links. The id is
     the document: rows of one id share its component. Rows with a null id take no
@@ -149,7 +177,7 @@ def join(df: DataFrame, percent: int = 75, width: int = 5, id_col: str = "doc_id
     An empty table gives no rows.
     """
     docs = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).cast("string").alias("text"))
-    made = materialise(signatures(docs, width))
+    made = materialise(signatures(docs, width, percent))
     full = made.where(F.col("key").isNotNull() & F.col("id").isNotNull())
     classes = full.groupBy("key").agg(F.min("id").alias("rep"))
     reps = full.join(classes.withColumnRenamed("key", "k"), (F.col("key") == F.col("k")) & (F.col("id") == F.col("rep")), "left_semi")
