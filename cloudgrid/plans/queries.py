@@ -273,6 +273,13 @@ def box_sort(spark, sf_dir):
     return sort_boxes(_boxes(spark, sf_dir), "x").orderBy("lo_x", *_BID).limit(10).select(*_BID, "lo_x")
 
 
+@query(f"WITH {_BOXES} SELECT c_nationkey, c_mktsegment, lo_x, row_number() OVER (ORDER BY lo_x, c_nationkey, c_mktsegment) AS rank FROM bx")
+def box_sort_all(spark, sf_dir):
+    """All boxes with their rank on an axis, in one task: there is a box for each nation and segment, whatever the scale."""
+    rank = F.row_number().over(Window.orderBy("lo_x", *_BID)).cast("bigint")
+    return sort_boxes(_boxes(spark, sf_dir), "x").select(*_BID, "lo_x", rank.alias("rank"))
+
+
 @query(f"WITH {_BOXES} SELECT c_nationkey, c_mktsegment, CASE WHEN row_number() OVER (ORDER BY lo_x, c_nationkey, c_mktsegment) <= 30 THEN 0 ELSE 1 END AS side FROM bx")
 def box_partition(spark, sf_dir):
     from ..functions.box import partition_boxes
@@ -368,6 +375,14 @@ def append_union(spark, sf_dir):
     return PointCloud(low).append(high).df.select(*KEYS, "x")
 
 
+@query(f"WITH {_PC} SELECT {_ID}, x FROM pc WHERE i < 0.5::FLOAT UNION ALL SELECT {_ID}, x FROM pc WHERE i >= 0.5::FLOAT")
+def append_union_all(spark, sf_dir):
+    """Two slices of importance that make the whole table."""
+    cloud = _cloud(spark, sf_dir)
+    high = cloud.filter_box(Box((-math.inf,) * 3 + (0.5,), (math.inf,) * 4)).df
+    return PointCloud(cloud.sample(0.5)).append(high).df.select(*KEYS, "x")
+
+
 # SQL over a cloud as a view
 
 

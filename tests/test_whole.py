@@ -40,3 +40,15 @@ def test_registration_finds_the_angle_with_every_point(spark, monkeypatch):
     found = __spark_entry__.queries()["registration"](spark, DATA).first()["angle"]
     assert sizes == {spark.read.parquet(f"{DATA}/embeddings.parquet").count()}
     assert queries.geometry.angle_error(found, 1.4) < 0.002
+
+
+def test_box_sort_ranks_every_box(spark):
+    rows = __spark_entry__.queries()["box_sort_all"](spark, DATA).collect()
+    assert len(rows) == queries._boxes(spark, DATA).count() > 10
+    assert [r["rank"] for r in sorted(rows, key=lambda r: (r.lo_x, r.c_nationkey, r.c_mktsegment))] == list(range(1, len(rows) + 1))
+
+
+def test_append_makes_the_whole_table(spark):
+    columns = [*queries.KEYS, "l_extendedprice"]
+    want = sorted(map(tuple, spark.read.parquet(f"{DATA}/lineitem.parquet").select(*columns).collect()))
+    assert sorted(map(tuple, __spark_entry__.queries()["append_union_all"](spark, DATA).collect())) == want
