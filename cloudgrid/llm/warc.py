@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import base64
 import gzip
+import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -111,6 +112,17 @@ def parse(raw: bytes) -> dict:
     }
 
 
+def measured(r: dict) -> dict:
+    """The record with a response's digest and length as its payload has them; ValueError if the headers say otherwise."""
+    if r["record_type"] != "response":
+        return r
+    found = {"digest": base64.b32encode(hashlib.sha1(r["payload"]).digest()).decode(), "payload_bytes": len(r["payload"])}
+    for k, v in found.items():
+        if r[k] != v:
+            raise ValueError(f"record {r['id']}: {k} is {v}, its headers say {r[k]}")
+    return r | found
+
+
 def write(df: DataFrame, folder: str | None = None, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
     """Write a record for each row and return the runs of the index, themselves written to the shared folder.
 
@@ -197,7 +209,8 @@ def merge(runs: DataFrame) -> DataFrame:
 def read(index: DataFrame, digest_only: bool = False) -> DataFrame:
     """(range_no, range_pos, id, url, record_type, refers_to, payload_digest, payload_bytes[, payload]) from the archives.
 
-    Entries of one archive are read in its order, 500 a task at a time.
+    Entries of one archive are read in its order, 500 a task at a time. Digest and
+    length of a response are measured; ValueError if they aren't as its headers say.
     """
 
     def run(batches):
@@ -209,7 +222,7 @@ def read(index: DataFrame, digest_only: bool = False) -> DataFrame:
                         file.close()
                     path, file = name, open_file(name)
                 file.seek(offset)
-                r = parse(zlib.decompress(file.read(length), 31))
+                r = measured(parse(zlib.decompress(file.read(length), 31)))
                 yield part, pos, r["id"], r["url"], r["record_type"], r["refers_to"], r["digest"], r["payload_bytes"], *(() if digest_only else (r["payload"],))
         if file:
             file.close()
