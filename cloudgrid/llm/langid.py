@@ -15,13 +15,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import filter_rows, map_rows
-from .words import WORDS, held_out, letter_words, ngrams, number, sample_groups, word_batches
+from .words import WORDS, held_out, ngrams, sample_groups, word_batches
 
 BUCKETS, LENGTHS, SEED = 1 << 16, (1, 2, 3, 4), 11
 #: Nats that a change of language costs.
 SWITCH = 12.0
-#: Labelled texts to learn from, over all languages, on average at most.
-MAX_TEXTS = 4000
+#: Labelled texts to learn from, over all languages, on average at most, and languages at most.
+MAX_TEXTS, MAX_LANGS = 4000, 200
+#: Tasks that count their n-grams.
+PARTS = 32
 #: Languages that use a script for less than this share of their letters are no candidates in it.
 SCRIPT_SHARE = 0.001
 UND = "und"
@@ -91,35 +93,71 @@ class Model:
 
     def scores(self, words: list[str]) -> np.ndarray:
         """Log posterior of each language for each word; half of the n-grams' sum, since they overlap."""
-        return np.concatenate([self._scores(words[at : at + WORDS]) for at in range(0, len(words), WORDS)])
+        return self.both(words)[0]
 
-    def _scores(self, words: list[str]) -> np.ndarray:
+    def both(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """scores(), and how much likelier each language makes the word's n-grams than chance does, in nats."""
+        parts = [self._both(words[at : at + WORDS]) for at in range(0, len(words), WORDS)]
+        return tuple(np.concatenate(x) for x in zip(*parts, strict=True))
+
+    def _both(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         bucket, owner = ngrams(words, LENGTHS, BUCKETS)
         order = np.argsort(owner, kind="stable")
-        total = np.add.reduceat(self.table[bucket[order]], np.searchsorted(owner[order], np.arange(len(words)))).astype(np.float64) / 2
+        summed = np.add.reduceat(self.table[bucket[order]], np.searchsorted(owner[order], np.arange(len(words)))).astype(np.float64)
+        gain = summed + np.bincount(owner, minlength=len(words))[:, None] * np.log(BUCKETS)
+        total = summed / 2
         allowed = self.allowed[word_scripts(words)]
         total = np.where(allowed | ~allowed.any(axis=1, keepdims=True), total, total.min(axis=1, keepdims=True) - 50)
-        return total - np.logaddexp.reduce(total, axis=1, keepdims=True)
-
-
-def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", max_texts: int = MAX_TEXTS) -> Model:
-    """Learn from a random part of the rows with a language, an equal number for each."""
-    rows = df.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    langs = sorted(r["lang"] for r in rows.select("lang").distinct().collect())
-    got = sample_groups(rows, ["lang", "text"], dict.fromkeys(langs, max_texts / max(1, len(langs))), "lang", SEED).toArrow()
-    counts = np.zeros((BUCKETS, len(langs)), np.float64)
-    scripts = np.zeros((len(_NAMES), len(langs)))
-    for k, lang in enumerate(langs):
-        found = [letter_words(t) for t, x in zip(got["text"].to_pylist(), got["lang"].to_pylist(), strict=True) if x == lang]
-        b = number([], found)
-        times = np.bincount(b.at, minlength=len(b.words)) if b.words else np.zeros(0)
-        if b.words:
-            bucket, owner = ngrams(b.words, LENGTHS, BUCKETS)
-            counts[:, k] = np.bincount(bucket, times[owner], BUCKETS)
-            letters = np.fromiter(map(len, b.words), np.float64) * times
-            scripts[:, k] = np.bincount(word_scripts(b.words), letters, len(_NAMES)) / letters.sum()
+        return total - np.logaddexp.reduce(total, axis=1, keepdims=True), gain
+
+
+def fit(df: DataFrame, lang_col: str = "lang", text_col: str = "text", id_col: str = "doc_id", max_texts: int = MAX_TEXTS, max_langs: int = MAX_LANGS) -> Model:
+    """Learn from a random part of the rows with a language, an equal number for each.
+
+    Of more than max_langs values of lang_col the most frequent are learnt (of
+    equally frequent ones the first by name). Executors count n-grams; what the
+    driver holds is a number for each bucket and language, whatever the texts'
+    length. Rows with a null language or text are left out; ids may be null or
+    repeat. Without rows no language is learnt.
+    """
+    rows = df.select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null")
+    counts = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_langs).collect()}
+    langs = sorted(counts)
+    chosen = sample_groups(rows.where("text is not null"), "lang", counts, max_texts / max(1, len(langs)), ["id", "text"], SEED)
+    both = np.zeros((BUCKETS + len(_NAMES), len(langs)))
+    for r in ngram_counts(chosen, langs).collect():
+        both[np.frombuffer(r["bucket"], "<i4"), langs.index(r["lang"])] += np.frombuffer(r["n"], "<i8")
+    counts, letters = both[:BUCKETS], both[BUCKETS:]
     table = np.log((counts + 0.1) / (counts.sum(axis=0) + 0.1 * BUCKETS)).astype(np.float32)
-    return Model(langs, table, scripts >= SCRIPT_SHARE)
+    return Model(langs, table, letters / np.maximum(1, letters.sum(axis=0)) >= SCRIPT_SHARE)
+
+
+def ngram_counts(rows: DataFrame, langs: list[str]) -> DataFrame:
+    """(lang, bucket binary, n binary) of rows (id, lang, text): how often each n-gram bucket occurs; from BUCKETS on, the letters of each script.
+
+    Rows are dealt by language, so there are fewer than PARTS rows more than languages, each of one number for a bucket at most.
+    """
+
+    def run(batches):
+        found: dict[str, np.ndarray] = {}
+        for b in word_batches(batches):
+            of = [r[0] for r in b.rows]
+            row = np.repeat([langs.index(lang) for lang in of], np.diff(b.bounds))
+            for lang in set(of):
+                times = np.bincount(b.at[row == langs.index(lang)], minlength=len(b.words))
+                n = found.setdefault(lang, np.zeros(BUCKETS + len(_NAMES), "<i8"))
+                for at in range(0, len(b.words), WORDS):
+                    words, often = b.words[at : at + WORDS], times[at : at + WORDS]
+                    bucket, owner = ngrams(words, LENGTHS, BUCKETS)
+                    n[:BUCKETS] += np.bincount(bucket, often[owner], BUCKETS).astype(np.int64)
+                    letters = np.fromiter(map(len, words), np.int64, len(words)) * often
+                    n[BUCKETS:] += np.bincount(word_scripts(words), letters, len(_NAMES)).astype(np.int64)
+        for lang, n in found.items():
+            seen = np.flatnonzero(n)
+            yield lang, seen.astype("<i4").tobytes(), n[seen].tobytes()
+
+    salt = F.pmod(F.xxhash64("id", "text"), F.lit(-(-PARTS // max(1, len(langs)))))
+    return map_rows(rows.repartition(PARTS, "lang", salt).select("lang", "text"), run, "lang string, bucket binary, n binary")
 
 
 def viterbi(s: np.ndarray, switch: float) -> np.ndarray:
@@ -151,13 +189,14 @@ def viterbi(s: np.ndarray, switch: float) -> np.ndarray:
 
 
 def paths(batches, model: Model, switch: float) -> Iterator[tuple]:
-    """(row, letters in each word, path) for each row of Arrow batches that end in text."""
+    """(row, letters in each word, path, gain over chance along it) for each row of Arrow batches that end in text."""
     for b in word_batches(batches):
-        scores = model.scores(b.words) if b.words and model.langs else np.zeros((len(b.words), 0))
+        scores, gains = model.both(b.words) if b.words and model.langs else (np.zeros((len(b.words), 0)),) * 2
         size = np.fromiter(map(len, b.words), np.int64, len(b.words))
         for i, row in enumerate(b.rows):
             at = b.at[b.bounds[i] : b.bounds[i + 1]]
-            yield row, size[at], viterbi(scores[at], switch) if len(at) and model.langs else np.zeros(0, np.int64)
+            path = viterbi(scores[at], switch) if len(at) and model.langs else np.zeros(0, np.int64)
+            yield row, size[at], path, float(gains[at[: len(path)], path].sum())
 
 
 def label_spans(df: DataFrame, model: Model, switch: float = SWITCH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -191,23 +230,29 @@ def main_language(model: Model, size: np.ndarray, path: np.ndarray) -> tuple[str
 
 
 def keep_identified(df: DataFrame, model: Model, min_score: float = 0.3, switch: float = SWITCH, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, whose main language has a share of min_score of their letters or more.
-
-    A clean text with a line or two of another language stays; one without a letter, or of scraps of many languages, goes.
+    """The rows, with all their columns, that are in a learnt language.
+
+    The main language's share of the letters must be min_score or more, and the
+    languages found must make the text's n-grams likelier than chance, which those
+    of unlearnt languages and of random letters aren't. A clean text with a line or
+    two of another language stays; one that is null, without a letter, or of scraps
+    of many languages goes. Each row is judged by itself: repeated rows and null ids
+    stay or go by their texts, whatever their length. An empty table gives no rows.
     """
 
     def decide(batch):
-        found = [main_language(model, size, path) for _, size, path in paths([batch], model, switch)]
-        return [lang != UND and score >= min_score for lang, score in found]
+        for _, size, path, gain in paths([batch], model, switch):
+            lang, score = main_language(model, size, path)
+            yield lang != UND and score >= min_score and gain > 0
 
-    return filter_rows(df, text_col, decide)
+    return filter_rows(df, text_col, lambda batch: list(decide(batch)))
 
 
 def _label(df, model, switch, id_col, text_col, more, fields):
     own = df.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches):
-        for row, size, path in paths(batches, model, switch):
+        for row, size, path, _ in paths(batches, model, switch):
             yield row[0], *main_language(model, size, path), *more(path)
 
     return map_rows(own, run, f"id {own.schema[0].dataType.simpleString()}, lang_pred string, score double{fields}").withColumnRenamed("id", id_col)
@@ -216,4 +261,4 @@ def _label(df, model, switch, id_col, text_col, more, fields):
 def learn_and_identify(documents: DataFrame) -> DataFrame:
     """identify() with a model of the rows that are not held out; adds held_out, doc_id's remainder."""
     model = fit(documents.where(~held_out("doc_id")))
-    return identify(documents, model).withColumn("held_out", held_out("doc_id"))
+    return identify(documents, model).select("doc_id", held_out("doc_id").alias("held_out"), "lang_pred", "score")

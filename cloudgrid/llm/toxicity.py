@@ -2,8 +2,9 @@
 
 A word's vector is the mean of the vectors of its hashed character n-grams and of
 itself; a text's is the mean over its distinct words and PAD empty ones; a linear layer with softmax
-gives the class. Vectors and layer are learnt together, in numpy on the driver, by
-Adam over all sampled rows at once. A misspelt word shares most of its n-grams.
+gives the class. Executors turn the sampled texts into weighted bags of buckets;
+vectors and layer are learnt together from these, in numpy on the driver, by
+Adam over all of them at once. A misspelt word shares most of its n-grams.
 """
 
 from __future__ import annotations
@@ -14,15 +15,17 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filter_rows, map_rows
-from .words import WORDS, held_out, letter_words, ngrams, number, sample_groups, word_batches
+from .common import filter_rows, map_rows, materialise, partitions, rows_of
+from .words import WORDS, held_out, letter_words, ngrams, sample_groups, word_batches
 
 BUCKETS, LENGTHS, SEED = 1 << 17, (3, 4, 5), 5
 DIMENSIONS, STEPS, RATE, Z = 8, 150, 0.2, 5.5
 #: Words with a zero vector that each text's mean also holds, so that one odd word in a short text weighs little.
 PAD = 100
-#: Labelled texts of each class to learn from, on average at most.
-MAX_TEXTS = 2000
+#: Labelled texts of each class to learn from, on average at most, and n-gram buckets with a vector at most.
+MAX_TEXTS, MAX_NGRAMS = 2000, 4096
+#: Tasks that count the sampled texts' n-grams at most.
+PARTS = 32
 THRESHOLD = 0.3
 
 
@@ -49,78 +52,59 @@ def _sums(rows: np.ndarray, weights: np.ndarray, values: np.ndarray, n: int) ->
     return np.stack([np.bincount(rows, weights * values[:, k], n) for k in range(values.shape[1])], axis=1)
 
 
-def telling(words: list[list[str]], y: np.ndarray, block: int = 200) -> np.ndarray:
-    """Buckets whose share of documents differs between the classes by at least Z standard errors, a block of documents at a time."""
-    in_one, in_all = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    for at in range(0, len(words), block):
-        b = number([], words[at : at + block])
-        bucket, owner = ngrams(b.words, LENGTHS, BUCKETS)
-        order = np.argsort(owner, kind="stable")
-        first = np.searchsorted(owner[order], np.arange(len(b.words) + 1))
-        count = np.diff(first)[b.at]
-        each = np.repeat(first[b.at] - (np.cumsum(count) - count), count) + np.arange(count.sum())
-        doc = np.repeat(np.repeat(np.arange(len(b.bounds) - 1), np.diff(b.bounds)), count)
-        pair = np.unique(doc * BUCKETS + bucket[order][each])
-        in_all += np.bincount(pair % BUCKETS, minlength=BUCKETS)
-        in_one += np.bincount(pair % BUCKETS, y[at + pair // BUCKETS], BUCKETS)
-    ones, n = y.sum(), len(y)
+def bag(text: str) -> tuple[int, np.ndarray, np.ndarray]:
+    """(distinct words, buckets, weights): the text's sum of word vectors is the weighted sum of its buckets' vectors."""
+    words = list(dict.fromkeys(letter_words(text)))
+    weight = np.zeros(BUCKETS)
+    for at in range(0, len(words), WORDS):
+        some = words[at : at + WORDS]
+        bucket, owner = ngrams(some, LENGTHS, BUCKETS)
+        weight += np.bincount(bucket, (1.0 / np.bincount(owner, minlength=len(some)))[owner], BUCKETS)
+    found = np.flatnonzero(weight)
+    return len(words), found, weight[found]
+
+
+def telling(in_all: np.ndarray, in_one: np.ndarray, n: int, ones: int, most: int) -> np.ndarray:
+    """Buckets, ascending, whose share of documents differs between the classes by at least Z standard errors; the most telling ones.
+
+    in_all, in_one: documents with each bucket, and those of them of class 1; n, ones: documents.
+    """
     share = in_all / n
     error = np.sqrt(share * (1 - share) * (1 / ones + 1 / (n - ones)))
     gap = np.abs(in_one / ones - (in_all - in_one) / (n - ones))
-    return np.flatnonzero((in_all >= 3) & (gap >= Z * error))
-
+    fit = np.flatnonzero((in_all >= 3) & (gap >= Z * error))
+    best = np.argsort(-gap[fit] / np.maximum(error[fit], 1e-12), kind="stable")[:most]
+    return np.sort(fit[best])
 
-def chosen_ngrams(words: list[str], names: np.ndarray, block: int = 50_000) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(place in names, word, 1 / the word's n-grams) of the n-grams in the buckets names, a block of words at a time."""
-    found = []
-    for at in range(0, len(words), block):
-        bucket, owner = ngrams(words[at : at + block], LENGTHS, BUCKETS)
-        share = 1.0 / np.bincount(owner)
-        keep = np.isin(bucket, names)
-        found.append((np.searchsorted(names, bucket[keep]), owner[keep] + at, share[owner[keep]]))
-    empty = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
-    return tuple(np.concatenate(c) for c in zip(empty, *found, strict=True))
 
+def train_bags(labels: np.ndarray, sizes: np.ndarray, doc: np.ndarray, bucket: np.ndarray, weights: np.ndarray, steps: int = STEPS, odds: float | None = None) -> Model:
+    """Minimise the class-balanced cross entropy over documents of both classes.
 
-def train(texts: list[str], labels: list[int], steps: int = STEPS, odds: float | None = None) -> Model:
-    """Minimise the class-balanced cross entropy; needs rows of both classes, else it scores their share.
-
-    Buckets that tell nothing about the class keep zero vectors, so that texts of
-    many words aren't learnt by heart. A row weighs as the root of its number of
-    distinct words, so short ones don't rule. Half of odds, the classes' log odds
-    before sampling (here, if not given), goes into the bias.
+    sizes: distinct words of each document; (doc, bucket, weights): their bags, of
+    the buckets that get vectors. Other buckets keep zero vectors, so that texts
+    of many words aren't learnt by heart. A row weighs as the root of its number
+    of distinct words, so short ones don't rule. Half of odds, the classes' log
+    odds before sampling (here, if not given), goes into the bias.
     """
-    y = np.array(labels, np.int64)
-    if len(set(labels)) < 2:
-        share = float(y.mean()) if len(y) else 0.0
-        return Model(np.zeros(BUCKETS), 60.0 if share else -60.0)
+    y = labels.astype(np.int64)
     odds = float(np.log(y.sum() / (len(y) - y.sum()))) if odds is None else odds
-    found = [list(dict.fromkeys(letter_words(t))) for t in texts]
-    names = telling(found, y)
+    names, bucket = np.unique(bucket, return_inverse=True)
     if not len(names):
         return Model(np.zeros(BUCKETS), odds)
-    b = number([], found)
-    sizes = np.diff(b.bounds)
     weight = np.sqrt(np.maximum(1, sizes))
     weight = np.where(y == 1, weight / weight[y == 1].sum(), weight / weight[y == 0].sum()) / 2
     target = np.eye(2)[y]
-    bucket, owner, per_word = chosen_ngrams(b.words, names)
-    live, owner = np.unique(owner, return_inverse=True)
-    word, doc = b.at, np.repeat(np.arange(len(y)), sizes)
-    chosen = np.isin(word, live)
-    word, doc = np.searchsorted(live, word[chosen]), doc[chosen]
-    per_doc = (1.0 / (sizes + PAD))[doc]
+    share = weights / (sizes + PAD)[doc]
     rng = np.random.default_rng(SEED)
 
     p = {"e": np.zeros((len(names), DIMENSIONS)), "w": rng.normal(0, 1, (DIMENSIONS, 2)), "b": np.zeros(2)}
     m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in "mv")
     for step in range(1, steps + 1):
-        x = _sums(doc, per_doc, _sums(owner, per_word, p["e"][bucket], len(live))[word], len(y))
+        x = _sums(doc, share, p["e"][bucket], len(y))
         z = x @ p["w"] + p["b"]
         q = np.exp(z - z.max(axis=1, keepdims=True))
         dz = (q / q.sum(axis=1, keepdims=True) - target) * weight[:, None]
-        back = _sums(word, per_doc, (dz @ p["w"].T)[doc], len(live))
-        g = {"e": _sums(bucket, per_word, back[owner], len(names)), "w": x.T @ dz, "b": dz.sum(axis=0)}
+        g = {"e": _sums(bucket, share, (dz @ p["w"].T)[doc], len(names)), "w": x.T @ dz, "b": dz.sum(axis=0)}
         for k in p:
             m[k] = 0.9 * m[k] + 0.1 * g[k]
             v[k] = 0.99 * v[k] + 0.01 * g[k] ** 2
@@ -130,19 +114,75 @@ def train(texts: list[str], labels: list[int], steps: int = STEPS, odds: float |
     return Model(out, float(p["b"][1] - p["b"][0]) + odds / 2)
 
 
-def fit(documents: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def one_class(labels: list[int]) -> Model:
+    """What is learnt without rows of both classes: their share."""
+    return Model(np.zeros(BUCKETS), 60.0 if sum(labels) else -60.0)
+
+
+def train(texts: list[str], labels: list[int], steps: int = STEPS, odds: float | None = None, max_ngrams: int = MAX_NGRAMS) -> Model:
+    """The model of texts at hand, as fit() makes it of tables."""
+    if len(set(labels)) < 2:
+        return one_class(labels)
+    y, bags = np.array(labels, np.int64), [bag(t) for t in texts]
+    every = np.concatenate([b for _, b, _ in bags])
+    label_of = np.repeat(y, [len(b) for _, b, _ in bags])
+    names = telling(np.bincount(every, minlength=BUCKETS), np.bincount(every, label_of, BUCKETS), len(y), int(y.sum()), max_ngrams)
+    return _train(y, [(n, *_chosen(b, w, names)) for n, b, w in bags], steps, odds)
+
+
+def _chosen(bucket, weights, names):
+    keep = np.isin(bucket, names)
+    return bucket[keep], weights[keep]
+
+
+def _train(y, bags, steps, odds) -> Model:
+    doc = np.repeat(np.arange(len(bags)), [len(b) for _, b, _ in bags])
+    bucket, weights = (np.concatenate([np.zeros(0, t), *(x[k] for x in bags)]) for k, t in ((1, np.int64), (2, np.float64)))
+    return train_bags(y, np.array([n for n, _, _ in bags], np.float64), doc, bucket.astype(np.int64), weights, steps, odds)
+
+
+def fit(documents: DataFrame, labels: DataFrame, max_texts: int = MAX_TEXTS, max_ngrams: int = MAX_NGRAMS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn from a random part of the labelled rows, as many of each class.
 
     Labels of one id that repeat with one value count once; a null label, id or
     text is none. The sampled ids, at most two times max_texts on average, are
-    broadcast to fetch their texts.
+    broadcast to fetch their texts, which stay on executors: these count how many
+    documents of each class have a bucket, and then send the driver the bags over
+    the max_ngrams most telling buckets at most, so texts may be of any length.
+    Without rows of both classes the share of the one is learnt.
     """
-    known = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null").distinct()
+    known = labels.select(F.col(id_col).cast("string").alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and id is not null").distinct()
     n = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
-    chosen = sample_groups(known, ["id", "label"], {0: max_texts, 1: max_texts}, "label", SEED)
-    own = documents.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
-    got = own.join(F.broadcast(chosen), "id").select("text", "label").toArrow()
-    return train(got["text"].to_pylist(), got["label"].to_pylist(), odds=float(np.log(n[1] / n[0])) if len(n) == 2 else None)
+    chosen = sample_groups(known, "label", n, max_texts, ["id", "label"], SEED)
+    own = documents.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    rows = own.join(F.broadcast(chosen), "id").select("id", "label", "text")
+    sample = materialise(rows.repartition(min(PARTS, partitions(documents.sparkSession))))  # two passes follow
+
+    def counts(batches):
+        n, ones = np.zeros(BUCKETS + 1, "<i8"), np.zeros(BUCKETS + 1, "<i8")  # the last place: documents
+        for _, label, text in rows_of(batches):
+            has = np.append(bag(text)[1], BUCKETS)
+            n[has] += 1
+            ones[has] += label
+        if n[-1]:
+            yield n.tobytes(), ones.tobytes()
+
+    got = map_rows(sample, counts, "n binary, ones binary").collect()  # a row for each of PARTS tasks
+    in_all, in_one = (sum((np.frombuffer(r[k], "<i8") for r in got), np.zeros(BUCKETS + 1, np.int64)) for k in ("n", "ones"))
+    total, ones = int(in_all[-1]), int(in_one[-1])
+    if not 0 < ones < total:
+        return one_class([1] if ones else [0])
+    names = telling(in_all[:-1], in_one[:-1], total, ones, max_ngrams)
+
+    def bags(batches):
+        for doc, label, text in rows_of(batches):
+            size, found, weights = bag(text)
+            found, weights = _chosen(found, weights, names)
+            yield doc, label, size, found.astype("<i4").tobytes(), weights.astype("<f8").tobytes()
+
+    made = sorted(map(tuple, map_rows(sample, bags, "id string, label int, size int, bucket binary, weights binary").collect()))  # in one order, so that sums are the same each time
+    read = [(size, np.frombuffer(b, "<i4"), np.frombuffer(w, "<f8")) for _, _, size, b, w in made]
+    return _train(np.array([r[1] for r in made], np.int64), read, STEPS, float(np.log(n[1] / n[0])) if len(n) == 2 else None)
 
 
 def score(df: DataFrame, model: Model, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -174,11 +214,15 @@ def scored(batches, model: Model):
 
 
 def keep_clean(df: DataFrame, model: Model, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows, with all their columns, that score below the threshold."""
+    """The rows, with all their columns, that score below the threshold.
+
+    Each row is judged by its text alone: repeated rows and null ids stay or go by
+    it, and a null or empty text by the bias. An empty table gives no rows.
+    """
     return filter_rows(df, text_col, lambda batch: [s < threshold for _, s in scored([batch], model)])
 
 
 def learn_and_score(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """score() with a model of the labelled rows that are not held out; adds held_out."""
+    """(doc_id, held_out, score, predicted): score() with a model of the labelled rows that are not held out."""
     model = fit(documents, labels.where(~held_out("doc_id")))
-    return score(documents, model).withColumn("held_out", held_out("doc_id"))
+    return score(documents, model).select("doc_id", held_out("doc_id").alias("held_out"), "score", "predicted")

@@ -81,14 +81,14 @@ def ngrams(words: list[str], lengths: tuple[int, ...], buckets: int) -> tuple[np
     return np.concatenate(found), np.concatenate(owner)
 
 
-def sample_groups(df, columns: list[str], wanted: dict, key: str, seed: int):
-    """The columns of a random part of each group's rows, wanted[group] of them on average at most.
+def sample_groups(df, key: str, counts: dict, wanted: int, columns: list[str], seed: int):
+    """A random part of df: of each group of key in counts (its rows), wanted rows on average at most; other groups are left out.
 
-    Rows are chosen by hash, in one pass without a shuffle; groups not in wanted are left out.
+    Rows are chosen by a hash of columns, in one pass without a shuffle. columns
+    should hold an id, so that copies of one text don't all come in together.
     """
-    counts = {r[key]: r["count"] for r in df.groupBy(key).count().collect() if r[key] in wanted}
     share = F.lit(0.0)
     for group, n in counts.items():
-        share = F.when(F.col(key) == F.lit(group), F.lit(min(1.0, wanted[group] / n))).otherwise(share)
+        share = F.when(F.col(key) == F.lit(group), F.lit(min(1.0, wanted / max(1, n)))).otherwise(share)
     roll = F.pmod(F.xxhash64(*columns, F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    return df.where(roll < share).select(*columns)
+    return df.where(roll < share)
