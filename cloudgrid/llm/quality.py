@@ -3,20 +3,24 @@
 Base counts are computed for every row. The rules after them only decide: each
 rule's cost and share of rejections are estimated on a sample, and the rules are
 put into one CASE in order of rejections per cost, so a row leaves at the first
-rule that rejects it. The order never changes a verdict.
+rule that rejects it. The order never changes a verdict, whatever the sample holds.
 """
 
 from __future__ import annotations
 
-import time
+import random
+import re
 from dataclasses import dataclass
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import WORD_GAP, text_of
 
 WINDOW = 8
+#: Plain passes over a text that one by a regular expression takes as long as.
+REGEX = 8
 
 
 @dataclass(frozen=True)
@@ -26,6 +30,12 @@ class Rule:
     name: str
     rejects: str
 
+    @property
+    def work(self) -> str:
+        """What the rule takes for a row, in passes over a character, as an expression: its steps over the text, weighted by kind, and one for the rest."""
+        per_char = REGEX * len(re.findall(r"regexp_\w+\(", self.rejects)) + len(re.findall(r"\b(?:length|replace|translate)\(", self.rejects))
+        return f"1 + {per_char}D * length(text)"
+
 
 #: Rows that these reject are junk by surface form in any language.
 RULES = (
@@ -41,13 +51,15 @@ RULES = (
 
 @dataclass(frozen=True)
 class Estimate:
+    """cost: the rule's mean work; rejected: its share of the rows that pass the base test."""
+
     rule: Rule
-    seconds: float
+    cost: float
     rejected: float
 
     @property
     def rank(self) -> float:
-        return self.rejected / max(self.seconds, 1e-6)
+        return self.rejected / self.cost
 
 
 def _let(value: Column, body) -> Column:
@@ -94,32 +106,40 @@ def _covered(windows: Column) -> Column:
     return F.aggregate(_let(pairs, repeated), start, step)["n"]
 
 
-def estimate(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, fraction: float = 0.1, seed: int = 3) -> list[Estimate]:
-    """Seconds and share of rejections of each rule on at most sample_rows rows, best first.
+def few_files(df: DataFrame, most: int, seed: int) -> DataFrame:
+    """df over most of its files, chosen at random, where it is a plain scan of more; else df as it is."""
+    names = sorted(df.inputFiles())
+    if len(names) <= most:
+        return df
+    chosen = random.Random(seed).sample(names, most)
+    try:  # Spark skips the other files; it writes a path without a host with one slash or three
+        return df.where(F.col("_metadata.file_path").isin(chosen + [c.replace(":///", ":/", 1) for c in chosen if ":///" in c]))
+    except AnalysisException:  # no plain scan, so its rows have no file
+        return df
 
-    df holds text and the base counts. The sample is a random fraction of the
-    rows, of which the first sample_rows are taken, so few parts are read. The
-    time of an empty rule is taken off each time.
-    """
-    sample = df.select("text", *_used(df)).sample(fraction, seed=seed).limit(sample_rows).persist()
-    try:
-        n = max(1, sample.count())
 
-        def timed(condition: str) -> tuple[float, float]:
-            began = time.perf_counter()
-            hit = sample.agg(F.count_if(F.expr(condition))).first()[0]
-            return time.perf_counter() - began, hit / n
+def estimate(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, files: int = 16, seed: int = 3, text_col: str = "text") -> list[Estimate]:
+    """Cost and share of rejections of each rule on about sample_rows rows, best first.
 
-        timed("n_words < 0")
-        floor, _ = timed("n_words < 1")
-        made = [Estimate(r, max(0.0, s - floor), hit) for r in rules for s, hit in [timed(r.rejects)]]
+    The rows are a random part of a few files of df; only they are counted, in one
+    pass without a shuffle of texts. Rules see those that pass the base test. A
+    rule's cost is the mean of its work over them: wall-clock times of so short
+    jobs are mostly noise, while this is the same from run to run. Equal ranks go by
+    cost, then by name. Without rows every rule rejects nothing.
+    """
+    part = few_files(df, files, seed).select(text_of(text_col).alias("text"))
+    n = part.count()
+    some = part if n <= sample_rows else part.sample(sample_rows / n, seed)
+    columns = [c for k, r in enumerate(rules) for c in (F.coalesce(F.expr(r.rejects), F.lit(False)).alias(f"_hit{k}"), F.expr(r.work).alias(f"_work{k}"))]
+    seen = F.col("base_failed").alias("_failed")
+    got = base_counts(some).select(seen, *columns).persist()  # a filter below the cache would repeat the counts' expressions
+    try:
+        passed = got.where("not _failed")
+        means = passed.agg(*(F.avg(F.col(f"_hit{k}").cast("double")) for k in range(len(rules))), *(F.avg(f"_work{k}") for k in range(len(rules)))).first()
     finally:
-        sample.unpersist()
-    return sorted(made, key=lambda e: (-e.rank, e.seconds, e.rule.name))
-
-
-def _used(df: DataFrame) -> list[str]:
-    return [c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines") if c in df.columns]
+        got.unpersist()
+    found = [Estimate(r, means[len(rules) + k] or 1.0, means[k] or 0.0) for k, r in enumerate(rules)]
+    return sorted(found, key=lambda e: (-e.rank, e.cost, e.rule.name))
 
 
 def cascade(order: list[Rule]) -> tuple[Column, Column]:
@@ -133,23 +153,17 @@ def cascade(order: list[Rule]) -> tuple[Column, Column]:
 
 
 def judge(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed, kept).
+    """(id_col, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_lines).
 
     Each row is judged by itself: repeated rows get the same verdict, null ids
     are kept as they are, and a null or empty text fails the base test. Other
     columns are ignored. An empty table gives no rows.
     """
-    counted = base_counts(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")))
-    cheap = _cheap_counts(df.select(text_of(text_col).alias("text")))
-    order = [e.rule for e in estimate(cheap, rules, sample_rows)]
+    order = [e.rule for e in estimate(df, rules, sample_rows, text_col=text_col)]
     kept, _ = cascade(order)
+    counted = base_counts(df.select(F.col(id_col).alias("id"), text_of(text_col).alias("text")))
     counted = counted.withColumn("kept", F.when(F.col("base_failed"), False).otherwise(kept))
-    return counted.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_lines", "n_repeat_words", "base_failed", "kept")
-
-
-def _cheap_counts(df: DataFrame) -> DataFrame:
-    """What the rules use, for the sample: the base counts without the repeated windows."""
-    return base_counts(df).drop("n_repeat_words", "base_failed")
+    return counted.select(F.col("id").alias(id_col), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines")
 
 
 #: The same for DuckDB.
@@ -171,7 +185,7 @@ r AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_i
 c AS (SELECT doc_id, count(DISTINCT i + k)::BIGINT AS n FROM r, range(0, 8) AS s(k) GROUP BY doc_id),
 f AS (SELECT b.*, coalesce(c.n, 0)::BIGINT AS n_repeat_words FROM b LEFT JOIN c USING (doc_id)),
 h AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM f)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_words, base_failed,
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT base_failed AND NOT (
     10 * n_symbols > n_words
     OR word_chars < 2 * n_words OR word_chars > 15 * n_words
@@ -180,6 +194,6 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_lines, n_repeat_wo
     OR length(regexp_replace(text, '[^\p{Lu}]+', '', 'g')) > 0.6 * greatest(20, length(regexp_replace(text, '[^\p{L}]+', '', 'g')))
     OR len(list_filter(ws, lambda x: NOT regexp_matches(x, '\p{L}'))) > 0.4 * n_words
     OR len(list_filter(range(2, n_words + 1), lambda i: ws[i] = ws[i - 1])) > 0.4 * n_words
-  ) AS kept
+  ) AS kept, n_lines
 FROM h
 """

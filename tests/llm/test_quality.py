@@ -74,10 +74,12 @@ def test_cascade_order_never_changes_a_verdict(spark):
 
 def test_estimates_are_ordered_by_rejections_per_cost(spark):
     df = quality.base_counts(spark.createDataFrame(texts() * 20, "doc_id bigint, text string"))
-    found = quality.estimate(df, fraction=1.0)
+    found = quality.estimate(df)
     assert {e.rule for e in found} == set(quality.RULES)
     assert [e.rank for e in found] == sorted((e.rank for e in found), reverse=True)
     assert next(e.rejected for e in found if e.rule.name == "symbols") > 0
+    cost = {e.rule.name: e.cost for e in found}
+    assert cost["symbols"] == cost["word_length"] < cost["exclamations"] < cost["wordless"] < cost["capitals"]
 
 
 def test_native_plan(spark):
@@ -94,3 +96,20 @@ def test_window_edges(spark, n):
     t = " ".join(["a"] * n)
     row = quality.judge(spark.createDataFrame([(1, t)], "doc_id bigint, text string")).first()
     assert row.n_repeat_words == brute(t)[4]
+
+
+def test_order_is_the_same_each_time(spark):
+    df = spark.createDataFrame(texts() * 20, "doc_id bigint, text string")
+    orders = {tuple(e.rule.name for e in quality.estimate(df)) for _ in range(3)}
+    assert len(orders) == 1
+
+
+def test_sample_reads_few_files(spark, tmp_path):
+    df = spark.createDataFrame(texts() * 20, "doc_id bigint, text string").repartition(12)
+    df.write.parquet(str(tmp_path / "t"))
+    read = spark.read.parquet(str(tmp_path / "t"))
+    few = quality.few_files(read, 3, seed=1)
+    assert len(few.select("_metadata.file_path").distinct().collect()) == 3 < 12
+    assert quality.few_files(read.distinct(), 3, seed=1).count() == read.distinct().count()
+    assert len(quality.estimate(read, files=3)) == len(quality.RULES)
+    assert len(quality.estimate(read.limit(0))) == len(quality.RULES)
