@@ -12,7 +12,6 @@ import random
 import re
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -108,14 +107,14 @@ def _covered(windows: Column) -> Column:
 
 def few_files(df: DataFrame, most: int, seed: int) -> DataFrame:
     """df over most of its files, chosen at random, where it is a plain scan of more; else df as it is."""
+    if df._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation":
+        return df
     names = sorted(df.inputFiles())
     if len(names) <= most:
         return df
     chosen = random.Random(seed).sample(names, most)
-    try:  # Spark skips the other files; it writes a path without a host with one slash or three
-        return df.where(F.col("_metadata.file_path").isin(chosen + [c.replace(":///", ":/", 1) for c in chosen if ":///" in c]))
-    except AnalysisException:  # no plain scan, so its rows have no file
-        return df
+    # Spark skips the other files; it writes a path without a host with one slash or three
+    return df.where(F.col("_metadata.file_path").isin(chosen + [c.replace(":///", ":/", 1) for c in chosen if ":///" in c]))
 
 
 def estimate(df: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000, files: int = 16, seed: int = 3, text_col: str = "text") -> list[Estimate]:
