@@ -92,8 +92,10 @@ class PieceEncoder:
     whole: no cuts.
     """
 
-    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], mode: str, wide: bool = False, joined: bool = False):
+    def __init__(self, encode_many: Callable[[list[str]], list[list[int]]], mode: str, wide: bool = False, joined: bool = False, special: Iterable[str] = ()):
+        """special: strings that the tokenizer takes out of a text before it cuts it; a text that holds one isn't cut here."""
         self.encode_many, self.mode, self.code = encode_many, mode, "I" if wide else "H"
+        self.special = re.compile("|".join(map(re.escape, special)), re.IGNORECASE).search if special else lambda text: None
         self.table = PieceTable()
         mark = encode_many([SEPARATORS[mode]])[0] if joined and mode in SEPARATORS else []
         self.mark = mark[0] if len(mark) == 1 else None
@@ -104,6 +106,8 @@ class PieceEncoder:
 
     def prepared(self, text: str) -> str | None:
         """The text with a space before each piece but the first, or None where no cut is safe."""
+        if self.special(text):
+            return None
         if self.mode == "word":
             return text.replace("\n", " ")
         if self.mode == "whole" or not text or text[0] in " \n" or text[-1] in " \n" or _other_space(text):
@@ -163,18 +167,22 @@ class PieceEncoder:
                 yield bytes(raw[a:b])
 
 
-def tokenizers_encoder(model: str, mode: str) -> PieceEncoder:
-    """An encoder of the tokenizers library, kept by each Python worker."""
+def tokenizers_encoder(model: str, mode: str, special_as_text: bool = False) -> PieceEncoder:
+    """An encoder of the tokenizers library, kept by each Python worker.
+
+    Strings of special tokens in a text become these tokens, as the library has it, or ordinary text with special_as_text.
+    """
 
     def make() -> PieceEncoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         t = Tokenizer.from_str(model)
-        t.encode_special_tokens = True  # strings of special tokens in a text are text
-        return PieceEncoder(lambda xs: [e.ids for e in t.encode_batch_fast(xs, add_special_tokens=False)], mode, t.get_vocab_size() > 1 << 16, joined=True)
+        t.encode_special_tokens = special_as_text
+        special = [x.content for x in t.get_added_tokens_decoder().values()]
+        return PieceEncoder(lambda xs: [e.ids for e in t.encode_batch_fast(xs, add_special_tokens=False)], mode, t.get_vocab_size() > 1 << 16, joined=True, special=special)
 
-    return held(("tokenizers", mode, hashlib.sha1(model.encode()).digest()), make)
+    return held(("tokenizers", mode, special_as_text, hashlib.sha1(model.encode()).digest()), make)
 
 
 def read_model(path: str) -> str:

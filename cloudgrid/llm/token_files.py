@@ -13,6 +13,7 @@ import json
 import struct
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +28,8 @@ from .pieces import encoded, tokenizers_encoder
 MAGIC = b"EFTOKEN1"
 #: Ids after which a shard ends: 32 MB at two bytes each.
 SHARD_IDS = 16_000_000
+#: Ids that are read at once.
+STRETCH = 1_000_000
 #: One sample of the upper bits for so many values.
 SAMPLE = 256
 
@@ -75,8 +78,12 @@ class EliasFano:
         one = byte * 8 + (word & -word).bit_length() - 1
         return (one - i) << self.low_bits | self._low(i)
 
+    def rank(self, value: int) -> int:
+        """How many values are at most value, by bisection over select()."""
+        return bisect_right(range(self.n), value, key=self.select)
+
     def values(self) -> np.ndarray:
-        """All values at once."""
+        """All values at once, as a table; reading shards doesn't need it."""
         ones = np.flatnonzero(np.unpackbits(np.frombuffer(self.high, np.uint8), bitorder="little"))[: self.n]
         out = (ones - np.arange(self.n)) << self.low_bits
         if self.low_bits:
@@ -119,8 +126,8 @@ class Shard:
     def __len__(self) -> int:
         return self.head["n_docs"]
 
-    def doc_ids(self) -> list:
-        return [None] * self.head["null_ids"] + (self._docs.values() + self.head["first_id"]).tolist()
+    def doc_id(self, i: int) -> int | None:
+        return self._docs.select(i - nulls) + self.head["first_id"] if i >= (nulls := self.head["null_ids"]) else None
 
     def bounds(self, i: int) -> tuple[int, int]:
         return self.ends.select(i - 1) if i else 0, self.ends.select(i)
@@ -130,14 +137,15 @@ class Shard:
         return np.frombuffer(self.file.read((end - start) * self.dtype.itemsize), self.dtype)
 
     def documents(self) -> Iterator[tuple]:
-        """(doc_id, start in the shard, ids) in order, read in stretches of about a million ids."""
-        ends, block, since, until = self.ends.values(), None, 0, 0
-        start = 0
-        for doc, end in zip(self.doc_ids(), ends.tolist(), strict=True):
+        """(doc_id, start in the shard, ids) in order; select() gives each bound, and ids are read in stretches of about a million."""
+        start, since, until, block = 0, 0, 0, None
+        for i in range(len(self)):
+            end = self.ends.select(i)
             if end > until:
-                since, until = start, max(end, int(ends[max(0, np.searchsorted(ends, start + 1_000_000) - 1)]))
+                last = self.ends.rank(start + STRETCH) - 1
+                since, until = start, self.ends.select(last) if last > i else end
                 block = self.ids(since, until)
-            yield doc, start, (block[start - since : end - since] if end > start else np.zeros(0, self.dtype))
+            yield self.doc_id(i), start, (block[start - since : end - since] if end > start else np.zeros(0, self.dtype))
             start = end
 
     def close(self) -> None:
@@ -214,5 +222,4 @@ def read_one(spark: SparkSession, manifest: DataFrame, position: int) -> np.ndar
     """The ids of the document that holds the id at a position of the whole sequence."""
     row = manifest.where(F.col("base") <= position).orderBy(F.desc("base")).first()
     shard = Shard(row["path"])
-    at = int(np.searchsorted(shard.ends.values(), position - row["base"], side="right"))
-    return shard.ids(*shard.bounds(at))
+    return shard.ids(*shard.bounds(shard.ends.rank(position - row["base"])))

@@ -7,7 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import tiktoken
-from hypothesis import given
+from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
@@ -17,6 +17,7 @@ P = pytest.importorskip("public_tokenizers")
 ALPHABET = "ab  \n\n\t\r.,!'s\x01é́<|endoftext|>1２　\x1c'LL"
 rng = random.Random(5)
 TEXTS = ["", " ", "\n", "a", " a", "a ", "a\n\nb", "a  b", "a \rb", "it's DON'T", "Ωσς ß", "<|endoftext|> x", "é", "日本 語", "x" * 3000]
+TEXTS += ["a <|endoftext|> b", "a<|endoftext|><|startoftext|>b c", "A <|EndOfText|> b", "foo\n<|startoftext|> bar"]
 TEXTS += ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 40))) for _ in range(400)]
 TEXTS += [" ".join(rng.choice(["foo", "bar,", "it's", "\x01", "Aé"]) for _ in range(rng.randint(1, 3000))) for _ in range(3)]
 
@@ -30,15 +31,16 @@ def docs(spark):
     return spark.createDataFrame(rows(), "doc_id bigint, text string, ids string").repartition(3)
 
 
-def tokenizer(name):
+def tokenizer(name, special_as_text=False):
     t = Tokenizer.from_file(P.path(name))
-    t.encode_special_tokens = True
+    t.encode_special_tokens = special_as_text
     return t
 
 
 @pytest.mark.parametrize("name, mode", [("byte_bpe_50k.json", "byte_level"), ("word_bpe_49k.json", "word"), ("word_bpe_49k.json", "whole")])
-def test_pieces_give_the_same_ids(name, mode):
-    t, e = tokenizer(name), pieces.tokenizers_encoder(pieces.read_model(P.path(name)), mode)
+@pytest.mark.parametrize("as_text", [False, True])
+def test_pieces_give_the_same_ids(name, mode, as_text):
+    t, e = tokenizer(name, as_text), pieces.tokenizers_encoder(pieces.read_model(P.path(name)), mode, as_text)
     for _ in range(2):
         for text, got in zip(TEXTS, e.encode(TEXTS), strict=True):
             assert pieces.array(e.code, got).tolist() == t.encode(text, add_special_tokens=False).ids, repr(text)
@@ -69,6 +71,25 @@ def test_elias_fano(values):
         assert ef.n_bytes * 8 <= len(values) * (3 + np.log2(max(2, values[-1] / len(values)))) + 8 * (64 + len(ef.samples))
     with pytest.raises(IndexError):
         ef.select(len(values))
+    for v in (0, 7, 500_000, *values[::50].tolist()):
+        assert ef.rank(v) == np.searchsorted(values, v, side="right")
+
+
+def test_shards_are_read_by_select(tmp_path, monkeypatch):
+    """No table of all bounds: values() isn't called, whatever the stretches are."""
+    monkeypatch.setattr(token_files.EliasFano, "values", None)
+    docs = [None, None, -3, -3, 0, 5, 1 << 40]
+    lengths = [1, 4, 1, 300, 2, 7, 1]
+    ids = np.arange(sum(lengths), dtype="<u2")
+    path = str(tmp_path / "x.tok")
+    token_files.write_file(path, token_files.shard_bytes(docs, np.cumsum(lengths), [ids.tobytes()], 2))
+    for stretch in (1, 5, 1000):
+        monkeypatch.setattr(token_files, "STRETCH", stretch)
+        shard = token_files.Shard(path)
+        got = list(shard.documents())
+        assert [d for d, _, _ in got] == docs and [len(x) for _, _, x in got] == lengths
+        assert np.concatenate([x for _, _, x in got]).tolist() == ids.tolist()
+        shard.close()
 
 
 def test_token_files(spark, docs, monkeypatch):
@@ -115,6 +136,7 @@ def test_byte_bpe_like_tiktoken(docs):
         assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256(TEXTS[9].encode()).hexdigest())
 
 
+@settings(deadline=None)  # the first example loads the model
 @given(st.text())
 def test_byte_bpe_round_trip(text):
     bpe = byte_bpe.worker_bpe(MODEL, P.PATTERN)
