@@ -123,22 +123,29 @@ def measured(r: dict) -> dict:
     return r | found
 
 
-def write(df: DataFrame, folder: str | None = None, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", date: str = DATE) -> DataFrame:
+def write(df: DataFrame, folder: str | None = None, min_bytes: int = 0, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", time_col: str | None = None, date: str = DATE) -> DataFrame:
     """Write a record for each row and return the runs of the index, themselves written to the shared folder.
 
     The payload is html in UTF-8, a null one empty. Of rows with equal payloads of
     min_bytes or more, that with the smallest id is the response and the others
     are revisits of it; rows that repeat its id are responses too, and rows with a
     null id are revisits unless no equal row has an id. Null URLs have no target
-    field. Other columns are ignored. An empty table gives no runs. Only a digest
-    of each payload is shuffled; groups of one are left out before the join.
+    field. time_col: when a row was captured; without it, or where it is null, at
+    date. Other columns are ignored. An empty table gives no runs. The digests of
+    payloads that repeat are joined back; while they are few enough for Spark to
+    broadcast, only digests are shuffled, beyond that payloads are too, and the
+    partitions of a digest with very many rows are split by adaptive execution.
     """
     folder = folder or shared_dir(df.sparkSession)
     payload = F.coalesce(F.encode(F.col(html_col).cast("string"), "UTF-8"), F.lit(b""))
-    own = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
+    captured = F.lit(date)
+    if time_col:
+        utc = F.to_utc_timestamp(F.col(time_col).cast("timestamp"), F.current_timezone())
+        captured = F.coalesce(F.date_format(utc, "yyyy-MM-dd'T'HH:mm:ss'Z'"), captured)
+    own = df.select(F.col(id_col).cast("bigint").alias("id"), F.col(url_col).cast("string").alias("url"), captured.alias("captured"), payload.alias("payload")).withColumn("sha", F.sha1("payload"))
     counted = own.where(F.length("payload") >= min_bytes).groupBy("sha").agg(F.min("id").alias("first"), F.count("*").alias("n")).where("n > 1")
     copies = materialise(counted.select("sha", "first"))
-    tagged = own.join(copies, "sha", "left").select("id", "url", "payload", "sha", "first")
+    tagged = own.join(copies, "sha", "left").select("id", "url", "captured", "payload", "sha", "first")
 
     def run(batches):
         task = TaskContext.get()
@@ -156,11 +163,11 @@ def write(df: DataFrame, folder: str | None = None, min_bytes: int = 0, id_col:
                 at += len(part)
             return sorted(placed, key=entry_key)
 
-        for doc, url, body, sha, first in rows_of(batches):
+        for doc, url, when, body, sha, first in rows_of(batches):
             digest = base64.b32encode(bytes.fromhex(sha)).decode()
             revisit = first is not None and first != doc
-            parts.append(record("revisit" if revisit else "response", doc, url, date, digest, b"" if revisit else body, len(body), first))
-            entries.append((url_key(url), date, doc, "revisit" if revisit else "response", digest))
+            parts.append(record("revisit" if revisit else "response", doc, url, when, digest, b"" if revisit else body, len(body), first))
+            entries.append((url_key(url), when, doc, "revisit" if revisit else "response", digest))
             size += len(body)
             if size >= ARCHIVE_BYTES:
                 yield from flush()
@@ -193,10 +200,14 @@ def merge(runs: DataFrame) -> DataFrame:
     """The index in global order: range_no and range_pos give each entry's place.
 
     Ranges are cut in the whole order, so the captures of one URL may span
-    several; a range's entries are in memory while its tree merges them.
+    several, and null ids come first among equal URLs and times. A range's entries,
+    of which there are RANGE_ROWS on average at most, are in memory while its tree
+    merges one stretch of each run. Repeated rows differ in run or place, so all
+    stay. No runs give an empty index.
     """
     n = max(partitions(runs.sparkSession), runs.count() // RANGE_ROWS + 1)
-    dealt = runs.repartitionByRange(n, "url_key", "captured", F.asc_nulls_first("id"), "run", "seq")
+    order = ["url_key", "captured", F.asc_nulls_first("id")]
+    dealt = runs.repartitionByRange(n, *order, "run", "seq").sortWithinPartitions("run", *order, "seq")
 
     def run(batches):
         part = TaskContext.get().partitionId()
@@ -211,6 +222,8 @@ def read(index: DataFrame, digest_only: bool = False) -> DataFrame:
 
     Entries of one archive are read in its order, 500 a task at a time. Digest and
     length of a response are measured; ValueError if they aren't as its headers say.
+    A null id or URL comes back as null, and each entry gives one row, so repeated
+    rows stay. An empty index gives no rows.
     """
 
     def run(batches):

@@ -86,3 +86,20 @@ def test_a_run_out_of_order_is_cut():
 
 def test_empty(pages):
     assert warc.read(warc.merge(warc.write(pages.limit(0)))).count() == 0
+
+
+def test_captures_of_one_url_in_order_of_time(spark, monkeypatch):
+    """Runs are merged by URL key, then time, then row id; a null time is the default date."""
+    monkeypatch.setattr(warc, "ARCHIVE_BYTES", 40)
+    urls, r = ["http://a.com/x", "http://b.com/", "http://a.com/"], random.Random(3)
+    rows = [(k, r.choice(urls), f"text {k}", None if k % 9 == 0 else f"20{r.randint(10, 20)}-03-0{r.randint(1, 9)} 04:05:06") for k in range(120)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string, at string").repartition(5)
+    index = warc.merge(warc.write(df, time_col="at"))
+    got = sorted(index.collect(), key=lambda x: (x.range_no, x.range_pos))
+    stamp = {k: (at.replace(" ", "T") + "Z") if at else warc.DATE for k, _, _, at in rows}
+    want = sorted((warc.url_key(u), stamp[k], k) for k, u, _, _ in rows)
+    assert [(x.url_key, x.captured, x.id) for x in got] == want
+    assert len({x.run for x in got}) > 20 and {x.id for x in warc.read(index).collect()} == set(stamp)
+    with open_file(got[0].path) as f:
+        f.seek(got[0].offset)
+        assert f"WARC-Date: {got[0].captured}".encode() in gzip.decompress(f.read(got[0].length))
