@@ -194,3 +194,43 @@ def test_merge_parts_natively(spark):
                 s = fingerprints.BottomK.of((t or "").encode())
                 want = want.merge(s) if want else s
         assert got[g] == str(want)
+
+
+def plain_sketch(text, k=128, width=5):
+    """Bottom-k in plain integers: word hashes, folded over a window, mixed; the k smallest distinct ones."""
+    import xxhash
+
+    odd = [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F]
+    full, found = 1 << 64, set()
+    hashes = [xxhash.xxh64_intdigest(w) for w in text.encode().split()]
+    size = min(width, len(hashes))
+    for i in range(len(hashes) - size + 1 if hashes else 0):
+        v = size
+        for j in range(size):
+            v = (v + hashes[i + j]) * odd[j] % full
+            v ^= v >> 29
+        v = (v ^ v >> 30) * 0xBF58476D1CE4E5B9 % full
+        v = (v ^ v >> 27) * 0x94D049BB133111EB % full
+        found.add(v ^ v >> 31)
+    return sorted(found)[:k]
+
+
+def plain_likeness(x, y, k=128):
+    union = sorted(set(x) | set(y))[:k]
+    return sum(v in x and v in y for v in union) / len(union) if union else 1.0
+
+
+def test_fingerprints_against_a_plain_sketch(spark):
+    import base64
+
+    rows = [(k, " ".join(words(n))) for k, n in enumerate([0, 1, 4, 5, 6, 40, 200, 3000, 20_000])] + [(50, "é漢 " * 9), (51, None)]
+    df = spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id bigint, text string, fingerprint string")
+    got = {r.doc_id: r for r in fingerprints.edit_neighbours(df).collect()}
+    order = sorted(rows, reverse=True, key=lambda r: r[0])
+    for (i, t), (_, u) in zip(order, order[1:] + order[:1]):
+        t, u = t or "", u or ""
+        cut = len(t) // 3
+        own, edited, following = (plain_sketch(x) for x in (t, t[: len(t) - cut] + u[:cut], u))
+        encode = lambda h: "128:" + base64.b64encode(b"".join(v.to_bytes(8, "little") for v in h)).decode()
+        assert (got[i].fingerprint, got[i].edited_fingerprint) == (encode(own), encode(edited))
+        assert got[i].near_edited == plain_likeness(own, edited) and got[i].near_next == plain_likeness(own, following)
