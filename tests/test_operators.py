@@ -147,3 +147,39 @@ def test_rotation_and_registration(spark):
     found = geometry.register(c, turned, 14)
     assert geometry.angle_error(found, 1.0) < 0.2
     assert geometry.angle_error(0.1, 2 * math.pi - 0.1) == pytest.approx(0.2)
+
+
+def _plain_hausdorff(p, q):
+    d = ((p[:, None, :] - q[None, :, :]) ** 2).sum(axis=2)
+    return math.sqrt(max(d.min(axis=1).max(), d.min(axis=0).max()))
+
+
+@pytest.mark.parametrize("leaf", [40, 100_000])
+def test_hausdorff_of_odd_clouds(spark, monkeypatch, leaf):
+    """Outliers, dense clusters, clouds far apart, flat clouds and repeated points, in one leaf and in many."""
+    import numpy as np
+
+    monkeypatch.setattr(geometry, "LEAF", leaf)
+    monkeypatch.setattr(geometry, "BLOCK", 16)
+    monkeypatch.setattr(geometry, "ASKED", 50)
+    r = np.random.default_rng(1)
+    near = r.normal(size=(300, 3))
+    clouds = [
+        (near, np.vstack([r.normal(size=(250, 3)), [[1e9, 0, 0]]])),
+        (np.vstack([r.normal(scale=1e-6, size=(300, 3)), near[:20]]), near),
+        (near, r.normal(size=(200, 3)) + 1e6),
+        (near * [1, 1, 0], np.repeat(near[:5], 60, axis=0)),
+    ]
+    for p, q in clouds:
+        frames = [spark.createDataFrame(list(map(tuple, x.tolist())), "x double, y double, z double").repartition(3) for x in (p, q)]
+        assert geometry.hausdorff(*frames) == pytest.approx(_plain_hausdorff(p, q), rel=1e-9)
+
+
+def test_positions_that_are_none_take_no_part(spark):
+    make = lambda rows: spark.createDataFrame(rows, "x double, y double, z double")
+    odd = [(None, 0.0, 0.0), (float("nan"), 1.0, 1.0), (0.0, float("inf"), 0.0)]
+    a, b = make([(0.0, 0.0, 0.0), *odd]), make([(0.0, 3.0, 4.0), *odd])
+    assert geometry.hausdorff(a, b) == 5.0
+    assert geometry.hausdorff(a, make(odd)) is None and geometry.nearest(a, make(odd)).first().d2 is None
+    with pytest.raises(ValueError):
+        geometry.register(PointCloud.of(a), PointCloud.of(make(odd)), 4)
