@@ -12,6 +12,9 @@ import json
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qs, urlsplit
 
+from pyspark.sql import DataFrame
+
+from ..sources.ipc import send_stream
 from .engine import Engine, NotFound
 
 STREAM = "application/vnd.apache.arrow.stream"
@@ -34,6 +37,15 @@ def serve(engine: Engine, host: str = "127.0.0.1", port: int = 0) -> ThreadingHT
             self.end_headers()
             self.wfile.write(body)
 
+        def _stream(self, df: DataFrame) -> None:
+            """The rows as an Arrow IPC stream, batch by batch; the connection's end is the stream's."""
+            self.send_response(200)
+            self.send_header("Content-Type", STREAM)
+            self.send_header("Connection", "close")
+            self.end_headers()
+            send_stream(df, self.wfile)
+            self.close_connection = True
+
         def _do(self) -> None:
             url = urlsplit(self.path)
             q = {k: v[-1] for k, v in parse_qs(url.query).items()}
@@ -52,7 +64,12 @@ def serve(engine: Engine, host: str = "127.0.0.1", port: int = 0) -> ThreadingHT
                 if run is None:
                     raise NotFound(url.path)
                 out = run()
-                self._answer(200, *((out, STREAM) if isinstance(out, bytes) else (out,)))
+                if isinstance(out, DataFrame):
+                    self._stream(out)
+                else:
+                    self._answer(200, out)
+            except BrokenPipeError:  # the client has gone
+                self.close_connection = True
             except NotFound as e:
                 self._answer(404, {"error": f"not found: {e.args[0]}"})
             except (ValueError, KeyError) as e:
@@ -71,8 +88,8 @@ def serve(engine: Engine, host: str = "127.0.0.1", port: int = 0) -> ThreadingHT
                 raise ValueError(f"a body has {BODY} bytes at most")
             engine.append(self.rfile.read(size), q.get("collection", "default"), q.get("delta"))
 
-        def _points(self, q: dict) -> bytes:
+        def _points(self, q: dict) -> DataFrame:
             p, budget = q.get("p"), q.get("budget")
-            return engine.points_stream(q.get("bounds"), float(p) if p else None, q.get("collection", "default"), int(budget) if budget else None)
+            return engine.points(q.get("bounds"), float(p) if p else None, q.get("collection", "default"), int(budget) if budget else None)
 
     return ThreadingHTTPServer((host, port), Handler)

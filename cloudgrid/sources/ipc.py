@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import io
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -88,20 +89,45 @@ def from_stream(spark: SparkSession, body: bytes) -> DataFrame:
     return with_roles(df, schema)
 
 
+def batches_of(df: DataFrame) -> Iterator[pa.RecordBatch]:
+    """The result's Arrow batches on the driver, a partition at a time; executors serialise them."""
+
+    def run(batches):
+        for b in batches:
+            out = io.BytesIO()
+            with pa.ipc.new_stream(out, b.schema) as w:
+                w.write_batch(b)
+            yield pa.RecordBatch.from_arrays([pa.array([out.getvalue()], pa.binary())], ["body"])
+
+    schema = arrow_schema(df.schema)
+    for row in df.mapInArrow(run, "body binary").toLocalIterator(prefetchPartitions=True):
+        with pa.ipc.open_stream(row["body"]) as r:
+            for b in r:
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(b.columns, schema)], schema=schema)
+
+
+def send_stream(df: DataFrame, sink) -> int:
+    """Write an IPC stream of a result to a file-like object, a batch at a time; returns its rows. Roles go into the fields' metadata."""
+    rows = 0
+    with pa.ipc.new_stream(sink, arrow_schema(df.schema)) as w:
+        for b in batches_of(df):
+            w.write_batch(b)
+            rows += b.num_rows
+    return rows
+
+
 def to_stream(df: DataFrame) -> bytes:
-    """An IPC stream of a result, which must fit the driver; roles go into the fields' metadata."""
-    table = df.toArrow()
-    table = table.cast(pa.schema([pa.field(f.name, f.type, f.nullable, m.metadata) for f, m in zip(table.schema, arrow_schema(df.schema))]))
+    """send_stream() into bytes, for results that fit the driver."""
     out = io.BytesIO()
-    with pa.ipc.new_stream(out, table.schema) as w:
-        w.write_table(table)
+    send_stream(df, out)
     return out.getvalue()
 
 
 def write_ipc(df: DataFrame, path: str, compress: bool = False) -> int:
-    """One IPC file of a result, which must fit the driver; returns its rows."""
-    table = df.toArrow()
-    schema = arrow_schema(df.schema)
-    with open_output(path) as f, pa.ipc.new_file(f, schema, options=pa.ipc.IpcWriteOptions(compression="zstd" if compress else None)) as w:
-        w.write_table(table.cast(schema))
-    return table.num_rows
+    """One IPC file of a result, through the driver a partition at a time; returns its rows."""
+    rows, options = 0, pa.ipc.IpcWriteOptions(compression="zstd" if compress else None)
+    with open_output(path) as f, pa.ipc.new_file(f, arrow_schema(df.schema), options=options) as w:
+        for b in batches_of(df):
+            w.write_batch(b)
+            rows += b.num_rows
+    return rows

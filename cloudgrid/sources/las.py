@@ -7,11 +7,15 @@ a module with decode(file, header, first, count) -> bytes of plain records.
 from __future__ import annotations
 
 import importlib
+import itertools
 import struct
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -242,3 +246,18 @@ def write_las(batches, path: str, point_format: int = 3, scale: float = 0.001, s
         out.seek(0)
         out.write(header())
     return count
+
+
+def write_parts(df: DataFrame, folder: str, point_format: int = 3, scale: float = 0.001) -> list[str]:
+    """Write the rows as LAS files in a folder that all executors see, one for each partition that has rows; returns their paths.
+
+    A file belongs to one task attempt; those that no path names come from lost attempts.
+    """
+
+    def run(batches):
+        path = f"{folder}/part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.las"
+        batches = (b for b in batches if b.num_rows)
+        if first := next(batches, None):
+            yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([write_las(itertools.chain([first], batches), path, point_format, scale)])], ["path", "points"])
+
+    return sorted(r["path"] for r in df.mapInArrow(run, "path string, points bigint").collect())

@@ -140,21 +140,34 @@ class PlyDataSource(DataSource):
 
 
 def write_ply(df: DataFrame, path: str, binary: bool = False) -> int:
-    """Write the rows as vertices of one file, through the driver a partition at a time; returns the points."""
+    """Write the rows as vertices of one file; returns the points.
+
+    Executors encode, a block for each Arrow batch; the driver only passes blocks on, a partition at a time.
+    """
     kinds = [(f.name, WRITTEN.get(f.dataType.simpleString())) for f in df.schema]
     if odd := [n for n, k in kinds if k is None]:
         raise ValueError(f"columns that PLY can't hold: {odd}")
     df, dtype = df.persist(), np.dtype([(n, "<" + TYPES[k][0]) for n, k in kinds])
+
+    def encode(batches):
+        for b in batches:
+            if binary:
+                raw = np.empty(b.num_rows, dtype)
+                for k, n in enumerate(dtype.names):
+                    raw[n] = b.column(k).to_numpy(zero_copy_only=False)
+                body = raw.tobytes()
+            else:
+                text = [[repr(float(v)) if kind in ("float", "double") else str(int(v)) for v in b.column(k).to_pylist()] for k, (_, kind) in enumerate(kinds)]
+                body = "".join(" ".join(row) + "\n" for row in zip(*text)).encode()
+            yield pa.RecordBatch.from_arrays([pa.array([body], pa.binary())], ["body"])
+
     try:
         count = df.count()
         head = ["ply", f"format {'binary_little_endian' if binary else 'ascii'} 1.0", f"element vertex {count}", *(f"property {k} {n}" for n, k in kinds), "end_header", ""]
         with open_output(path) as out:
             out.write("\n".join(head).encode())
-            for row in df.toLocalIterator(prefetchPartitions=True):
-                if binary:
-                    out.write(np.array(tuple(row), dtype).tobytes())
-                else:
-                    out.write((" ".join(repr(float(v)) if k in ("float", "double") else str(int(v)) for v, (_, k) in zip(row, kinds)) + "\n").encode())
+            for block in df.mapInArrow(encode, "body binary").toLocalIterator(prefetchPartitions=True):
+                out.write(block["body"])
     finally:
         df.unpersist()
     return count

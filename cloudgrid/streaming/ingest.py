@@ -11,9 +11,14 @@ from ..plans.engine import Engine
 def ingest(stream: DataFrame, engine: Engine, collection: str, checkpoint: str, delta: str | None = None, keys: list[str] | None = None, once: bool = True) -> StreamingQuery:
     """Append each micro-batch to a collection's cells.
 
-    With keys, importance is derived from the row, so a batch that is written
-    again after a failure has the same points; rows of a batch that was written
-    but not yet committed can then be told by their keys.
+    Each batch is a folder named by its number, so one that is written again after
+    a failure replaces what it wrote before. With keys, importance is derived from
+    the row, so it has the same points again.
     """
-    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, _: engine.append(df, collection, delta, keys) if not df.isEmpty() else None)
+
+    def store(df: DataFrame, number: int) -> None:
+        if not df.isEmpty():
+            engine.append(df, collection, delta, keys, batch=str(number))
+
+    writer = stream.writeStream.option("checkpointLocation", checkpoint).foreachBatch(store)
     return (writer.trigger(availableNow=True) if once else writer).start()

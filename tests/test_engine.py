@@ -138,3 +138,35 @@ def test_a_hot_cell_is_split(spark, tmp_path):
         for n in names:
             spark.conf.unset(n)
     assert e.cloud("hot").df.inputFiles().__len__() > 3 and e.points(collection="hot").count() == 100_000
+
+
+def test_reopened_store(engine, spark):
+    engine.build_index()
+    engine.append(points(spark, 10, 9000), "other", keys=["id"])
+    again = Engine.open(spark, engine.store)
+    assert again.status() == engine.status()
+    assert sorted(again.points("5,5,0,25,25,9", 0.7).collect()) == sorted(engine.points("5,5,0,25,25,9", 0.7).collect())
+    again.append(points(spark, 10, 7000), keys=["id"])
+    again.drop("other")
+    third = Engine.open(spark, engine.store)
+    assert third.points().count() == 2010 and list(third.collections) == ["default"]
+    assert Engine.open(spark, engine.store + "-none").collections == {}
+
+
+def test_a_batch_replaces_itself(engine, spark):
+    for _ in range(2):
+        engine.append(points(spark, 10, 9000), keys=["id"], batch="7")
+    assert engine.points().count() == 2010
+    engine.append(points(spark, 10, 9000), keys=["id"])
+    assert engine.points().count() == 2020
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from cloudgrid.sources.files import shared_root
+
+    conf = SimpleNamespace(get=lambda *_: None, set=lambda *_: None)
+    with pytest.raises(ValueError):
+        shared_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077")))
+    assert shared_root(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="local[2]"))).startswith("file://")
