@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.box import Box, sort_boxes
-from ..functions.points import add, cast_dimensions, component, distance_2, divide, multiply, subtract
+from ..functions.points import add, cast_dimensions, component, divide, multiply, subtract
 from ..operators import geometry, index, partition
 from ..operators.cloud import PointCloud
 from ..operators.grid import Grid
@@ -236,14 +236,7 @@ def box_area_perimeter(spark, sf_dir):
 @query(f"WITH {_BOXES} SELECT c_nationkey, c_mktsegment, round(greatest(least(hi_x, 5000) - greatest(lo_x, 0), 0) * greatest(least(hi_y, 700) - greatest(lo_y, 100), 0), 4) AS shared, lo_x <= 5000 AND hi_x >= 0 AND lo_y <= 700 AND hi_y >= 100 AS touches, lo_x >= 0 AND hi_x <= 5000 AND lo_y >= 100 AND hi_y <= 700 AS within FROM bx")
 def box_intersection(spark, sf_dir):
     b, fixed = Box.of_columns(["x", "y"]), Box((0.0, 100.0), (5000.0, 700.0))
-    return _boxes(spark, sf_dir).select(*_BID, F.round(b.intersection_area(fixed), 4).alias("shared"), b.intersects(fixed).alias("touches"), _within(b, fixed).alias("within"))
-
-
-def _within(inner: Box, outer: Box):
-    test = F.lit(True)
-    for a, b, c, d in zip(outer.lower, outer.upper, inner.lower, inner.upper, strict=True):
-        test = test & (c >= a) & (d <= b)
-    return test
+    return _boxes(spark, sf_dir).select(*_BID, F.round(b.intersection_area(fixed), 4).alias("shared"), b.intersects(fixed).alias("touches"), fixed.contains_box(b).alias("within"))
 
 
 @query(f"WITH {_BOXES} SELECT c_nationkey, c_mktsegment, least(lo_x, 0) AS lo_x, greatest(hi_x, 5000) AS hi_x, least(lo_y, 100) AS lo_y, greatest(hi_y, 700) AS hi_y FROM bx")
@@ -267,12 +260,6 @@ def box_center(spark, sf_dir):
     return _boxes(spark, sf_dir).select(*_BID, *(v.alias(a) for a, v in zip("xy", c)))
 
 
-@query(f"WITH {_BOXES} SELECT c_nationkey, c_mktsegment, lo_x FROM bx ORDER BY lo_x, c_nationkey, c_mktsegment LIMIT 10")
-def box_sort(spark, sf_dir):
-    """The first boxes on an axis."""
-    return sort_boxes(_boxes(spark, sf_dir), "x").orderBy("lo_x", *_BID).limit(10).select(*_BID, "lo_x")
-
-
 @query(f"WITH {_BOXES} SELECT c_nationkey, c_mktsegment, lo_x, row_number() OVER (ORDER BY lo_x, c_nationkey, c_mktsegment) AS rank FROM bx")
 def box_sort_all(spark, sf_dir):
     """All boxes with their rank on an axis, in one task: there is a box for each nation and segment, whatever the scale."""
@@ -311,15 +298,9 @@ def affine_transform(spark, sf_dir):
     return df.select("vec_id", *(F.round(a, 9).alias(a) for a in "xyz"))
 
 
-@query(f"WITH {_EM} SELECT p.vec_id AS a, q.vec_id AS b, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2), 9) AS distance FROM em AS p, em AS q WHERE p.label = 0 AND q.label = 1")
-def distance_matrix(spark, sf_dir):
-    df = embeddings_cloud(spark, sf_dir)
-    return geometry.distance_matrix(df.where("label = 0"), df.where("label = 1"), "vec_id", "vec_id").withColumn("distance", F.round("distance", 9))
-
-
 @query(f"WITH {_EM} SELECT p.vec_id AS a, q.vec_id AS b, round(sqrt((p.x - q.x) ** 2 + (p.y - q.y) ** 2 + (p.z - q.z) ** 2), 9) AS distance FROM em AS p, em AS q")
 def distance_matrix_all(spark, sf_dir):
-    """distance_matrix of the whole cloud with itself."""
+    """The whole cloud with itself."""
     df = embeddings_cloud(spark, sf_dir)
     return geometry.distance_matrix(df, df, "vec_id", "vec_id").withColumn("distance", F.round("distance", 9))
 
@@ -343,21 +324,17 @@ def hausdorff_pairs(spark, sf_dir):
     return geometry.hausdorff_pairs(df.where("label % 2 = 0"), df.where("label % 2 = 1")).select(F.round("hausdorff", 9).alias("hausdorff"))
 
 
-@query(f"""WITH {_EM}, m AS (SELECT * FROM em WHERE label = 0), t(angle) AS (SELECT unnest([0.0, 0.7, 1.4, 2.1, 2.8])::DOUBLE),
+@query(f"""WITH {_EM}, m AS (SELECT * FROM em), t(angle) AS (SELECT unnest([0.0, 0.7, 1.4, 2.1, 2.8])::DOUBLE),
 r AS (SELECT angle, vec_id, x * cos(angle) - y * sin(angle) AS x, x * sin(angle) + y * cos(angle) AS y, z FROM m, t),
 f AS (SELECT vec_id, x * cos(1.4::DOUBLE) - y * sin(1.4::DOUBLE) AS x, x * sin(1.4::DOUBLE) + y * cos(1.4::DOUBLE) AS y, z FROM m),
 d AS (SELECT angle, p.vec_id AS a, q.vec_id AS b, {_D} AS d FROM r AS p, f AS q)
 SELECT angle, round(sqrt(greatest(fa, fb)), 6) AS hausdorff FROM (SELECT angle, max(m) AS fa FROM (SELECT angle, a, min(d) AS m FROM d GROUP BY ALL) GROUP BY angle) JOIN (SELECT angle, max(m) AS fb FROM (SELECT angle, b, min(d) AS m FROM d GROUP BY ALL) GROUP BY angle) USING (angle)""")
 def registration_candidates(spark, sf_dir):
     """The Hausdorff distance of a cloud, turned by each of several angles, to itself turned by one of them."""
-    m = embeddings_cloud(spark, sf_dir).where("label = 0").select("vec_id", "x", "y", "z")
-    t = spark.range(1).select(F.explode(F.array(*map(F.lit, (0.0, 0.7, 1.4, 2.1, 2.8)))).alias("angle"))
-    turn = lambda df, a: df.withColumns({"x": F.col("x") * F.cos(a) - F.col("y") * F.sin(a), "y": F.col("x") * F.sin(a) + F.col("y") * F.cos(a)})
-    p = turn(m.crossJoin(F.broadcast(t)), F.col("angle")).select("angle", F.col("vec_id").alias("a"), *(F.col(x).alias("p" + x) for x in "xyz"))
-    q = turn(m, F.lit(1.4)).select(F.col("vec_id").alias("b"), *(F.col(x).alias("q" + x) for x in "xyz"))
-    d = p.crossJoin(q).select("angle", "a", "b", distance_2([F.col("p" + x) for x in "xyz"], [F.col("q" + x) for x in "xyz"]).alias("d"))
-    worst = lambda side: d.groupBy("angle", side).agg(F.min("d").alias("m")).groupBy("angle").agg(F.max("m").alias("f" + side))
-    return worst("a").join(worst("b"), "angle").select("angle", F.round(F.sqrt(F.greatest("fa", "fb")), 6).alias("hausdorff"))
+    cloud = PointCloud(embeddings_cloud(spark, sf_dir))
+    fixed = geometry.rotate_z(cloud, 1.4).df
+    found = [(a, geometry.hausdorff(geometry.rotate_z(cloud, a).df, fixed)) for a in (0.0, 0.7, 1.4, 2.1, 2.8)]
+    return spark.createDataFrame(found, "angle double, hausdorff double").withColumn("hausdorff", F.round("hausdorff", 6))
 
 
 @query(None)
@@ -368,13 +345,6 @@ def registration(spark, sf_dir):
     return spark.range(1).select(F.lit(found).alias("angle"))
 
 
-@query(f"WITH {_PC} SELECT {_ID}, x FROM pc WHERE i < 0.02::FLOAT UNION ALL SELECT {_ID}, x FROM pc WHERE i >= 0.98::FLOAT")
-def append_union(spark, sf_dir):
-    cloud = _cloud(spark, sf_dir)
-    low, high = cloud.sample(0.02), cloud.filter_box(Box((-math.inf,) * 3 + (0.98,), (math.inf,) * 4)).df
-    return PointCloud(low).append(high).df.select(*KEYS, "x")
-
-
 @query(f"WITH {_PC} SELECT {_ID}, x FROM pc WHERE i < 0.5::FLOAT UNION ALL SELECT {_ID}, x FROM pc WHERE i >= 0.5::FLOAT")
 def append_union_all(spark, sf_dir):
     """Two slices of importance that make the whole table."""
@@ -418,18 +388,10 @@ _sql_query("sql_topk", f"SELECT {_ID}, x FROM pc ORDER BY x DESC, l_orderkey, l_
 _sql_query("sql_math", f"SELECT {_ID}, floor(x / 1000)::BIGINT AS k, round(sqrt(x), 6) AS root, CASE WHEN y > 25 THEN 'many' ELSE 'few' END AS size FROM pc", None)
 
 
-@query(f"""WITH {_PC}, {_BOXES} SELECT c_nationkey, c_mktsegment, count(*) AS n FROM bx JOIN pc ON x >= lo_x AND x < hi_x AND l_suppkey >= lo_y AND l_suppkey < hi_y
-WHERE c_mktsegment = 'BUILDING' AND i < 0.2::FLOAT GROUP BY ALL""")
-def sql_range_join(spark, sf_dir):
-    """Points in boxes: both sides meet in cells of a grid, then the exact test."""
-    boxes = _boxes(spark, sf_dir).where("c_mktsegment = 'BUILDING'")
-    return _count_inside(_cloud(spark, sf_dir).sample(0.2), boxes)
-
-
 @query(f"""WITH {_PC}, {_BOXES} SELECT c_nationkey, c_mktsegment, count(*) AS n FROM bx JOIN pc ON x >= lo_x AND x < hi_x AND l_suppkey >= lo_y AND l_suppkey < hi_y
 GROUP BY ALL""")
 def sql_range_join_all(spark, sf_dir):
-    """sql_range_join of all points with all boxes."""
+    """All points in all boxes: both sides meet in cells of a grid, then the exact test."""
     return _count_inside(_cloud(spark, sf_dir).df, _boxes(spark, sf_dir))
 
 
