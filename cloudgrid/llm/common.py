@@ -5,13 +5,14 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import os
-import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.files import shared_root
+
 #: A word is a run of anything but the six ASCII white space characters.
 WORD_GAP = "[\x20\x09-\x0d]+"
 
@@ -55,16 +56,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new folder, not yet made, under the cluster's spark.checkpoint.dir.
+    """A new folder, not yet made, under the folder that driver and executors share."""
+    return f"{shared_root(spark)}/llm-{uuid.uuid4().hex}"
+
+
+#: Rows of one Arrow batch at most: a batch of texts is in memory as a whole, in Spark and in Python.
+BATCH_ROWS = 1000
+
 
-    Where that setting is absent (tests on one machine), a temporary folder is
-    chosen once and kept in the session's settings.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("cloudgrid.shared.dir", None)
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="cloudgrid-")
-        spark.conf.set("cloudgrid.shared.dir", root)
-    return f"{root.rstrip('/')}/llm-{uuid.uuid4().hex}"
+def small_batches(spark: SparkSession) -> None:
+    """From now on Arrow batches have BATCH_ROWS rows at most; a smaller setting stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -155,6 +159,7 @@ def map_rows(df: DataFrame, fn, schema: str) -> DataFrame:
         finally:
             give_back()
 
+    small_batches(df.sparkSession)
     return df.mapInArrow(run, schema)
 
 
@@ -176,4 +181,5 @@ def filter_rows(df: DataFrame, text_col: str, decide) -> DataFrame:
         finally:
             give_back()
 
+    small_batches(df.sparkSession)
     return own.mapInArrow(run, df.schema)
