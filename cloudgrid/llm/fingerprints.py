@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -92,6 +93,21 @@ def merge_parts(sketches: DataFrame, group_col: str, k: int = K) -> DataFrame:
     return joined.select(F.col("g").alias(group_col), F.concat(F.lit(f"{k}:"), body).alias("fingerprint"))
 
 
+def _cuts(keys: DataFrame, n: int) -> tuple[list[tuple[int, int]], list[int]]:
+    """(cuts, heavy) of rows (key, tie): fewer than n cuts (key, last tie before it), keys descending and ties ascending, and the keys that are cut within."""
+    tenth = 10 * n
+    found = keys.agg(F.percentile_approx("key", [i / n for i in range(n - 1, 0, -1)] or [0.5], tenth)).first()[0] or []
+    times = Counter(found)
+    heavy = [k for k, often in times.items() if often > 1]
+    last = (1 << 63) - 1
+    cuts = {(k, last) for k in times}
+    if heavy:
+        m = max(times.values())
+        rows = keys.where(F.col("key").isin(heavy)).groupBy("key").agg(F.percentile_approx("tie", [i / m for i in range(1, m)], tenth).alias("ties"))
+        cuts |= {(r["key"], r["ties"][i * m // times[r["key"]] - 1]) for r in rows.collect() for i in range(1, times[r["key"]])}
+    return sorted(cuts, key=lambda c: (-c[0], c[1])), heavy
+
+
 def edit_neighbours(df: DataFrame, k: int = K, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of each text and of a text edited with the start of the next document.
 
@@ -104,26 +120,32 @@ def edit_neighbours(df: DataFrame, k: int = K, width: int = 5, id_col: str = "do
     fingerprint, edited_fingerprint, near_edited, near_next.
 
     Rows are dealt once, by ranges of the row id; each range also gets the first
-    row of the range after it, so texts cross the network one time.
+    row of the range after it, so texts cross the network one time. An id (or null)
+    with many rows is cut into ranges by the hash of their texts, so that only rows
+    that repeat as a whole stay together.
     """
     spark, n = df.sparkSession, partitions(df.sparkSession)
     own = df.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    lowest = -(1 << 63)
+    lowest, highest = -(1 << 63), (1 << 63) - 1
     key = F.coalesce("id", F.lit(lowest))
-    cuts = own.agg(F.percentile_approx("id", [i / n for i in range(n - 1, 0, -1)] or [0.5], 10 * n)).first()[0] or []
-    cuts = sorted(set(cuts), reverse=True)
-    steps = [1 << b for b in range(len(cuts).bit_length() - 1, -1, -1)] if cuts else []
+    tie = F.when(F.col("id").isNull(), F.xxhash64("text").bitwiseAND(F.lit(highest))).otherwise(F.xxhash64("text").bitwiseOR(F.lit(lowest)))
+    cuts, heavy = _cuts(own.select(key.alias("key"), tie.alias("tie")), n)
+    own = own.withColumn("spread", F.when(key.isin(heavy), tie).otherwise(F.lit(0)) if heavy else F.lit(0))
     at = F.lit(0)
-    if cuts:  # how many cuts lie above the id, by bisection
-        bounds = F.array(*map(F.lit, cuts))
-        at = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda low, step: F.when(F.get(bounds, low + step - 1) > key, low + step).otherwise(low))
+    if cuts:  # how many cuts come before the row, by bisection
+        ids, ties = (F.array(*(F.lit(c[k]).cast("bigint") for c in cuts)) for k in (0, 1))
+        steps = F.array(*(F.lit(1 << b) for b in range(len(cuts).bit_length() - 1, -1, -1)))
+        before = lambda i: (F.get(ids, i) > key) | ((F.get(ids, i) == key) & (F.get(ties, i) < F.col("spread")))
+        at = F.aggregate(steps, F.lit(0), lambda low, step: F.when(before(low + step - 1), low + step).otherwise(low))
     own = own.withColumn("range", at)
-    heads = sorted((r["range"], r["top"]) for r in own.groupBy("range").agg(F.max(key).alias("top")).collect())  # at most a row for each range
+    first = F.max(F.struct(key.alias("top"), F.bitwise_not("spread").alias("turned")))
+    heads = sorted((r["range"], r["first"]["top"], ~r["first"]["turned"]) for r in own.groupBy("range").agg(first.alias("first")).collect())  # at most a row for each range
     if not heads:
         return spark.createDataFrame([], f"{id_col} bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-    to = spark.createDataFrame([(r, top, heads[i - 1][0]) for i, (r, top) in enumerate(heads)], "head_range int, top bigint, to int")
-    ends = own.join(F.broadcast(to), (F.col("range") == F.col("head_range")) & (key == F.col("top"))).select("id", "text", F.col("to").alias("range"))
-    both = own.withColumn("extra", F.lit(False)).unionByName(ends.withColumn("extra", F.lit(True))).withColumn("tie", F.xxhash64("text"))
+    to = spark.createDataFrame([(*head, heads[i - 1][0]) for i, head in enumerate(heads)], "head_range int, top bigint, top_spread bigint, to int")
+    met = own.join(F.broadcast(to), (F.col("range") == F.col("head_range")) & (key == F.col("top")) & (F.col("spread") == F.col("top_spread")))
+    ends = met.groupBy(F.col("to").alias("range")).agg(F.min(F.struct(tie.alias("tie"), "id", "text")).alias("e")).select("e.id", "e.text", "range")
+    both = own.select("id", "text", "range").withColumn("extra", F.lit(False)).unionByName(ends.withColumn("extra", F.lit(True))).withColumn("tie", tie)
     dealt = both.repartitionById(n, F.col("range")).sortWithinPartitions("range", "extra", F.desc_nulls_last("id"), "tie").select("id", "text", "extra")
 
     def finish(doc, text, own_sketch, next_text, next_sketch):

@@ -1,9 +1,11 @@
+import hashlib
 import random
 from collections import Counter
 
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from cloudgrid.llm import components, count_tree, fingerprints, jaccard_join
 from cloudgrid.llm.shingles import shingle_hashes
@@ -161,6 +163,29 @@ def test_edit_neighbours(spark, monkeypatch, parts):
         spark.conf.set("spark.sql.shuffle.partitions", "4")
 
 
+@pytest.mark.parametrize("parts", [1, 3, 8])
+def test_edit_neighbours_of_ids_with_many_rows(spark, parts):
+    """Null, the lowest id and one other id have most rows; each is cut by its texts and the order stays whole."""
+    rows = [(k, " ".join(words(12))) for k in range(20)] + [(k, " ".join(words(9))) for k in (None, 7, -(1 << 63)) for _ in range(60)] + [(7, "same " * 30), (None, None)] * 15
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(5)
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        hashed = df.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h")).collect()
+        got = Counter(map(tuple, fingerprints.edit_neighbours(df).select("doc_id", "n_chars", "edited_sha256").collect()))
+        dealt = fingerprints._cuts(df.select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key"), F.xxhash64("text").alias("tie")), parts)[0]
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+    low, high = -(1 << 63), (1 << 63) - 1
+    tie = lambda r: r.h & high if r.doc_id is None else r.h | low
+    line = sorted(hashed, key=lambda r: (r.doc_id is None, -(r.doc_id or 0), tie(r)))
+    edited = lambda a, b: a[: len(a) - len(a) // 3] + b[: len(a) // 3]
+    want = Counter((a.doc_id, len(a.text), hashlib.sha256(edited(a.text, b.text).encode()).hexdigest()) for a, b in zip(line, line[1:] + line[:1], strict=True))
+    assert got == want
+    assert parts == 1 or len(dealt) < parts
+    assert parts < 8 or len(dealt) >= 5
+
+
 def test_edit_neighbours_of_odd_tables(spark):
     f = lambda rows: fingerprints.edit_neighbours(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
     assert f([]) == []
