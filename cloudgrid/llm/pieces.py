@@ -32,7 +32,8 @@ _other_space = re.compile(r"[^\S \n]").search
 class PieceTable:
     """Packed ids by piece. The first HOT pieces stay in a dict; later ones go through a small dict into sorted arrays.
 
-    The arrays are searched by 128-bit hashes. When they are full they are emptied.
+    The arrays are searched by 128-bit hashes. When they are full, pieces that weren't met
+    again since the last time go, or all of them if most were.
     """
 
     def __init__(self):
@@ -43,6 +44,20 @@ class PieceTable:
     def _empty(self) -> None:
         self.high, self.low = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
         self.start, self.size, self.blob = np.zeros(0, np.int64), np.zeros(0, np.uint32), b""
+        self.met = np.zeros(0, bool)
+
+    def _forget(self) -> None:
+        """Let go of what wasn't met again."""
+        if 2 * self.met.sum() > len(self.met):
+            self._empty()
+            return
+        order = np.argsort(self.start)  # the blob's order
+        size, kept = self.size[order], self.met[order]
+        self.blob = np.frombuffer(self.blob, np.uint8)[np.repeat(kept, size)].tobytes()
+        start = np.zeros(len(order), np.int64)
+        start[order[kept]] = np.cumsum(size[kept], dtype=np.int64) - size[kept]
+        self.high, self.low, self.start, self.size = (x[self.met] for x in (self.high, self.low, start, self.size))
+        self.met = np.zeros(len(self.high), bool)
 
     @staticmethod
     def _hashes(pieces) -> np.ndarray:
@@ -57,8 +72,11 @@ class PieceTable:
             at = [k for k in at if found[k] is None]
             if at and len(self.high):
                 h = self._hashes([pieces[k] for k in at])
+                order = np.argsort(h[:, 0])  # neighbouring searches then touch the same memory
+                at, h = np.array(at)[order].tolist(), h[order]
                 place = np.minimum(np.searchsorted(self.high, h[:, 0]), len(self.high) - 1)
                 hit = np.flatnonzero((self.high[place] == h[:, 0]) & (self.low[place] == h[:, 1]))
+                self.met[place[hit]] = True
                 start = self.start[place[hit]]
                 for k, a, b in zip(hit.tolist(), start.tolist(), (start + self.size[place[hit]]).tolist(), strict=True):
                     found[at[k]] = self.blob[a:b]
@@ -72,7 +90,7 @@ class PieceTable:
         if len(self.recent) < RECENT:
             return
         if len(self.high) > PACKED:
-            self._empty()
+            self._forget()
         h, ids = self._hashes(self.recent), list(self.recent.values())
         size = np.fromiter(map(len, ids), np.uint32, len(ids))
         start = len(self.blob) + np.cumsum(size, dtype=np.int64) - size
@@ -80,6 +98,7 @@ class PieceTable:
         order = np.argsort(high, kind="stable")
         self.high, self.low = high[order], np.concatenate([self.low, h[:, 1]])[order]
         self.start, self.size = np.concatenate([self.start, start])[order], np.concatenate([self.size, size])[order]
+        self.met = np.concatenate([self.met, np.zeros(len(size), bool)])[order]
         self.blob += b"".join(ids)
         self.recent = {}
 
