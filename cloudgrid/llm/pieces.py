@@ -24,6 +24,8 @@ from .common import chunks, held, rows_of
 
 #: Pieces that one Python worker keeps: as objects, of about 200 bytes, and in arrays, of about 35.
 HOT, RECENT, PACKED = 60_000, 40_000, 1_200_000
+#: Unknown pieces that are encoded as one text; longer texts take the library more time a piece.
+JOINED = 50
 #: What stands between unknown pieces that are encoded as one text: a cut of its own, of one id.
 SEPARATORS = {"byte_level": "\n", "word": " \x01 "}
 _other_space = re.compile(r"[^\S \n]").search
@@ -146,8 +148,8 @@ class PieceEncoder:
         if self.mark is None:
             return list(map(self.pack, self.encode_many(texts)))
         sep, out = SEPARATORS[self.mode], []
-        for at in range(0, len(texts), 1000):
-            some = texts[at : at + 1000]
+        for at in range(0, len(texts), JOINED):
+            some = texts[at : at + JOINED]
             ids = np.array(self.encode_many([sep.join(some)])[0], self.code)
             ends = np.flatnonzero(ids == self.mark)
             if len(ends) == len(some) - 1:
