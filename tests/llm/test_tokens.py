@@ -197,3 +197,19 @@ def test_packing_puts_copies_together(spark):
     key = {r.id: r.key for r in got}
     assert all(key[k] == key[k + 60] == key[k + 120] for k in range(60))
     assert packing.pack(df.limit(0), pieces.read_model(P.path("word_bpe_49k.json")), 2, 49408).count() == 0
+
+
+def test_a_full_piece_table_keeps_what_was_met_again(monkeypatch):
+    for name, n in (("HOT", 5), ("RECENT", 20), ("PACKED", 300)):
+        monkeypatch.setattr(pieces, name, n)
+    rng, t, kept = random.Random(3), pieces.PieceTable(), []
+    ids = lambda p: p.encode() * (len(p) % 4)
+    often = [f"o{k}" for k in range(60)]
+    for k in range(400):
+        asked = list(dict.fromkeys([*rng.sample(often, 12), *(f"x{k}-{j}" for j in range(6))]))
+        got = t.get(asked)
+        assert all(g is None or g == ids(p) for g, p in zip(got, asked, strict=True))
+        kept.append(sum(g is not None for g in got[:12]))
+        t.add({p: ids(p) for p, g in zip(asked, got, strict=True) if g is None})
+        assert len(t.high) <= 300 + 60 and len(t.blob) == t.size.sum()
+    assert sum(kept[100:]) > 0.95 * 12 * 300  # once in, the frequent ones stay
