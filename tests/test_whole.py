@@ -2,6 +2,10 @@
 
 import os
 
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 import __spark_entry__
@@ -28,6 +32,18 @@ def test_distance_matrix_is_of_the_whole_cloud(spark):
     assert all(got[a, a] == 0 and got[a, b] == got[b, a] for a in ids[:20] for b in ids)
 
 
+def test_distance_matrix_rounds_as_sql_does(spark, tmp_path):
+    """Far points, so that some scaled distances lie half-way, at whole places, whose squares are exact; vectors that repeat, one without a coordinate."""
+    made = np.random.default_rng(1).integers(-10**6, 10**6, (300, 3)).astype("float32").tolist()
+    made += [made[0], [0.0, None, 1.0], [3e38, 0.0, 0.0]]
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(made)), "int64"), "embedding": pa.array(made, pa.list_(pa.float32())), "label": pa.array([0] * len(made), "int32")}), f"{tmp_path}/embeddings.parquet")
+    got = {(r.a, r.b): r.distance for r in __spark_entry__.queries()["distance_matrix_all"](spark, str(tmp_path)).collect()}
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    want = {(a, b): d for a, b, d in con.execute(__spark_entry__.oracle_sql()["distance_matrix_all"]).fetchall()}
+    assert len(got) == len(made) ** 2 and got == want
+
+
 def test_registration_finds_the_angle_with_every_point(spark, monkeypatch):
     sizes, plain = set(), queries.geometry.hausdorff
 
