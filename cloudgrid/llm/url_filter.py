@@ -177,6 +177,7 @@ def projected(patterns: DataFrame, asked: DataFrame, single: DataFrame, allowed:
         rules.append(sets.where(good & (F.size("held") > 0)).select(F.array_append("held", F.col("item")).alias("items"), "n", "blocked"))
         kept = sets.where(~good).groupBy("held").agg(F.map_from_entries(F.collect_list(F.struct("item", let))).alias("kept"))
         rows = rows.join(kept, "held").withColumn("items", F.filter("items", lambda x: F.map_contains_key("kept", x))).where(F.size("items") > 1)
+        rows = rows.withColumn("lets", F.transform("items", lambda x: F.col("kept")[x])).drop("kept")
         lengths = rows.where("blocked > 0").groupBy("held").agg(F.max(F.size("items")).alias("longest"))
         rows = materialise(rows.join(lengths, "held"))
         short.append(rows.where(F.col("longest") <= MAX_ITEMS).select("held", "items", "n", "blocked"))
@@ -184,7 +185,7 @@ def projected(patterns: DataFrame, asked: DataFrame, single: DataFrame, allowed:
         if rows.isEmpty():
             break
         rows = rows.select("*", F.posexplode("items").alias("at", "item")).where("at > 0")
-        rows = rows.select(F.array_append("held", F.col("item")).alias("held"), F.col("kept")[F.col("item")].alias("above"), F.slice("items", 1, F.col("at")).alias("items"), "n", "blocked", "asked")
+        rows = rows.select(F.array_append("held", F.col("item")).alias("held"), F.col("lets")[F.col("at")].alias("above"), F.slice("items", 1, F.col("at")).alias("items"), "n", "blocked", "asked")
     short = reduce(DataFrame.unionByName, short)
     # each projection's items have a name of their own, so that one run mines all
     names = materialise(short.select("held").distinct().withColumn("name", F.monotonically_increasing_id().cast("string")))
