@@ -44,6 +44,29 @@ def test_distance_matrix_rounds_as_sql_does(spark, tmp_path):
     assert len(got) == len(made) ** 2 and got == want
 
 
+def test_distance_matrix_holds_a_distance_once_in_a_file(spark, tmp_path):
+    """Both ways round lie near each other, so that compression finds the second: 8.0 bytes a distance where they are apart."""
+    made = np.random.default_rng(2).normal(size=(3000, 3)).astype("float32")
+    pq.write_table(pa.table({"vec_id": np.arange(3000), "embedding": pa.array(list(made), pa.list_(pa.float32())), "label": np.zeros(3000, "int32")}), f"{tmp_path}/embeddings.parquet")
+    __spark_entry__.queries()["distance_matrix_all"](spark, str(tmp_path)).write.parquet(f"{tmp_path}/out")
+    files = [pq.ParquetFile(p).metadata for p in (tmp_path / "out").glob("*.parquet")]
+    assert sum(m.num_rows for m in files) == 3000**2
+    assert sum(m.row_group(k).column(2).total_compressed_size for m in files for k in range(m.num_row_groups)) < 6 * 3000**2
+
+
+@pytest.mark.parametrize("size", [20, 1000])
+def test_distance_matrix_is_a_product_of_any_blocks(spark, monkeypatch, size):
+    """Blocks that rows don't fill, and one that holds more than its share; repeated rows, ids that are null or text, missing and infinite coordinates."""
+    monkeypatch.setattr(queries.geometry, "SQUARE", size)
+    rows = [(f"v{k}", float(k), k / 3, -1.0) for k in range(300)] + [("v1", 1.0, 1 / 3, -1.0)] * 3 + [("same", 2.0, 2.0, 2.0)] * 20
+    rows += [(None, 1.0, 2.0, 3.0), ("none", None, 1.0, 1.0), ("nan", float("nan"), 1.0, 1.0), ("far", float("inf"), 1.0, 1.0)]
+    df = spark.createDataFrame(rows, "id string, x double, y double, z double")
+    whole, plain = queries.geometry.distance_matrix_whole(df, "id"), queries.geometry.distance_matrix(df, df, "id", "id")
+    assert whole.dtypes == plain.dtypes and whole.count() == len(rows) ** 2
+    assert whole.exceptAll(plain).count() == 0 and plain.exceptAll(whole).count() == 0
+    assert queries.geometry.distance_matrix_whole(df.limit(0), "id").count() == 0
+
+
 def test_registration_finds_the_angle_with_every_point(spark, monkeypatch):
     sizes, plain = set(), queries.geometry.hausdorff
 
